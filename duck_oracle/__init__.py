@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import revenue_sql
+from . import customers_sql, revenue_sql
 
-_MODULES = [revenue_sql]
+_MODULES = [revenue_sql, customers_sql]
 
 
 def all_sql() -> dict[str, str]:

@@ -97,14 +97,39 @@ def cents(x: str) -> str:
     return f"(CAST(({x}) AS DOUBLE) / 100)"
 
 
-def avg_cents(sum_c: str, n: str, k: int = 2) -> str:
-    """Mean of 2-decimal money from its cents sum and count: first to 6
-    decimals, then to ``k`` decimals (both half away from zero)."""
-    s = f"CAST(({sum_c}) AS HUGEINT)"
+def avg_scaled(sum_units: str, n: str, src_scale: int, k: int) -> str:
+    """AVG of a decimal with ``src_scale`` decimals, from the sum of its
+    integer units and the count: first to ``src_scale + 4`` decimals, then to
+    ``k`` decimals (both half away from zero).  NULL when n is 0."""
+    s = f"CAST(({sum_units}) AS HUGEINT)"
     c = f"CAST(nullif(({n}), 0) AS HUGEINT)"
-    micro = f"((2 * {s} * 10000 + {c}) // (2 * {c}))"
-    step = 10 ** (6 - k)
-    return f"(CAST((2 * {micro} + {step}) // (2 * {step}) AS DOUBLE) / {10 ** k})"
+    fine = f"(sign({s}) * ((2 * abs({s}) * 10000 + {c}) // (2 * {c})))"
+    step = 10 ** (src_scale + 4 - k)
+    return (f"(CAST(sign({fine}) * ((2 * abs({fine}) + {step}) // (2 * {step})) AS DOUBLE)"
+            f" / {10 ** k})")
+
+
+def avg_cents(sum_c: str, n: str, k: int = 2) -> str:
+    """Mean of 2-decimal money from its cents sum and count."""
+    return avg_scaled(sum_c, n, 2, k)
+
+
+def div_round(num: str, den: str) -> str:
+    """Integer num / den rounded half away from zero (den > 0), as HUGEINT."""
+    n = f"CAST(({num}) AS HUGEINT)"
+    d = f"CAST(({den}) AS HUGEINT)"
+    return f"(sign({n}) * ((2 * abs({n}) + {d}) // (2 * {d})))"
+
+
+def day_diff(start: str, end: str) -> str:
+    """Calendar-day difference end - start (time of day ignored)."""
+    return f"(CAST({end} AS DATE) - CAST({start} AS DATE))"
+
+
+def elapsed_day_diff(start: str, end: str) -> str:
+    """Whole elapsed days, truncated toward zero."""
+    d = f"(epoch_us({end}) - epoch_us({start}))"
+    return f"CAST(sign({d}) * (abs({d}) // 86400000000) AS BIGINT)"
 
 
 def big(x: str) -> str:

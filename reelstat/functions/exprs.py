@@ -41,7 +41,8 @@ def mean(total, count, src_scale: int = 2, digits: int = 2) -> Column:
     Like the source engine, the mean is first taken to ``src_scale + 4``
     decimals (the declared scale of AVG) and then rounded to ``digits``.
     """
-    m = dec(total, 38, src_scale) / nonzero(dec(count, 20, 0))
+    # decimal(28, s) / decimal(20, 0) keeps at least s + 10 decimals.
+    m = dec(total, 28, src_scale) / nonzero(dec(count, 20, 0))
     return F.round(F.round(m, src_scale + 4), digits)
 
 

@@ -120,11 +120,11 @@ def median(df: DataFrame, value: str, name: str = "median",
     counts = vals.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
     pref = _ordered_prefix(counts, [], F.col(value).asc(), "_n",
                            buckets or _buckets(df))
-    total = counts.agg(F.sum("_n").alias("_N"))
+    total = counts.agg(F.sum("_n").alias("_total_n"))
     pos = attach_one_row(pref, total).select(
         value, "_n", "_before",
-        F.floor((F.col("_N") + 1) / 2).alias("_k1"),
-        F.ceil((F.col("_N") + 1) / 2).alias("_k2"))
+        F.floor((F.col("_total_n") + 1) / 2).alias("_k1"),
+        F.ceil((F.col("_total_n") + 1) / 2).alias("_k2"))
     hit1 = (F.col("_before") < F.col("_k1")) & (F.col("_k1") <= F.col("_before") + F.col("_n"))
     hit2 = (F.col("_before") < F.col("_k2")) & (F.col("_k2") <= F.col("_before") + F.col("_n"))
     picked = pos.where(hit1 | hit2).agg(

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import revenue
+from .operators import customers, lateness, revenue
 from .sources.fixture import roles_from_test_tables
 from .sources.roles import Roles
 
@@ -27,9 +27,26 @@ ROLE_REPORTS: dict[str, RoleReport] = {
     "q_top3_titles_per_category": revenue.top_titles_per_category,
     "q_revenue_by_price_tier": revenue.revenue_by_price_tier,
     "q_revenue_per_copy": revenue.revenue_per_copy,
+    # C -- customer value and lateness
+    "q_customer_metrics": customers.customer_metrics,
+    "q_top_customers": customers.top_customers,
+    "q_segment_summary": customers.segment_summary,
+    "q_customer_lateness": lateness.customer_lateness,
+    "q_segment_lateness": lateness.segment_lateness,
+    "q_late_bands": lateness.late_bands,
+    "q_fee_loss_total": lateness.fee_loss_total,
+    "q_fee_loss_by_category": lateness.fee_loss_by_category,
+    # K -- documented metrics
+    "q_lateness_rows": lateness.lateness_rows,
+    "q_customer_window_totals": customers.payment_ltv_rows,
+    "q_customer_rental_frequency": customers.rental_frequency_rows,
+    "q_late_rate_gap": lateness.late_rate_gap,
+    "q_concentration": customers.concentration,
     # V -- published views that are reports in their own right
     "q_v_category_revenue": revenue.revenue_by_category,
     "q_v_title_ranking": revenue.title_ranking,
+    "q_v_customer_segments": customers.customer_segments_view,
+    "q_v_fee_loss": lateness.fee_loss_view,
 }
 
 # Reports that read raw tables (not roles): name -> function(spark, base).
