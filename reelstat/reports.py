@@ -11,13 +11,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import customers, lateness, revenue
+from .operators import customers, kpis, lateness, quality, revenue, stores, trends
+from .plans import views
 from .sources.fixture import roles_from_test_tables
 from .sources.roles import Roles
+from .sources.tables import read_tables
 
 RoleReport = Callable[[Roles], DataFrame]
 
 ROLE_REPORTS: dict[str, RoleReport] = {
+    # A -- data-quality audit
+    "q_null_profile": quality.null_profile_report,
+    "q_orphan_rental_payment": lambda r: quality.orphans(
+        r.rental, r.payment, "rental_id", "rentals without payment"),
+    "q_orphan_payment_rental": lambda r: quality.orphans(
+        r.payment, r.rental, "rental_id", "payments without rental", ignore_null_key=True),
+    "q_orphan_copy_title": lambda r: quality.orphans(
+        r.copy, r.title, "title_id", "copies without title"),
+    "q_orphan_title_category": lambda r: quality.orphans(
+        r.title, r.title_category, "title_id", "titles without category"),
+    "q_inactive_customer_rentals": quality.inactive_customer_rentals,
+    "q_rentals_by_month": quality.rentals_by_month,
+    "q_payments_by_year": quality.payments_by_year,
+    "q_return_before_rental": lambda r: quality.order_violations(
+        r.rental, "rental_id", "rental_date", "return_date"),
+    "q_long_rentals": lambda r: quality.duration_outliers(r.rental, "rental_date", "return_date"),
+    "q_duplicate_keys": quality.duplicate_keys_report,
+    "q_active_split": quality.active_split,
+    "q_copies_store_category": quality.copies_store_category,
+    "q_quality_scorecard": quality.quality_scorecard,
     # B -- revenue and catalogue
     "q_revenue_by_category": revenue.revenue_by_category,
     "q_top_titles": revenue.top_titles,
@@ -26,7 +48,6 @@ ROLE_REPORTS: dict[str, RoleReport] = {
     "q_unrented_store_titles": lambda r: revenue.unrented_titles(r, per_store=True),
     "q_top3_titles_per_category": revenue.top_titles_per_category,
     "q_revenue_by_price_tier": revenue.revenue_by_price_tier,
-    "q_revenue_per_copy": revenue.revenue_per_copy,
     # C -- customer value and lateness
     "q_customer_metrics": customers.customer_metrics,
     "q_top_customers": customers.top_customers,
@@ -36,21 +57,46 @@ ROLE_REPORTS: dict[str, RoleReport] = {
     "q_late_bands": lateness.late_bands,
     "q_fee_loss_total": lateness.fee_loss_total,
     "q_fee_loss_by_category": lateness.fee_loss_by_category,
+    # D -- time
+    "q_monthly_revenue": trends.monthly_revenue,
+    "q_daily_anomalies": trends.rental_daily_anomalies,
+    "q_weekday_profile": trends.weekday_profile,
+    "q_category_by_month": trends.category_by_month,
+    "q_ticket_trend": trends.ticket_trend,
+    # E -- stores, stock, staff
+    "q_store_performance": stores.store_performance,
+    "q_store_category": stores.store_category,
+    "q_stock_utilisation": stores.stock_utilisation,
+    "q_idle_stock": stores.idle_stock,
+    "q_store_scorecard": stores.store_scorecard,
+    "q_staff_performance": stores.staff_performance,
+    "q_staff_by_month": stores.staff_by_month,
+    # V -- published views
+    "q_v_category_revenue": views.VIEWS["v_category_revenue"],
+    "q_v_title_ranking": views.VIEWS["v_title_ranking"],
+    "q_v_customer_segments": views.VIEWS["v_customer_segments"],
+    "q_v_monthly_trend": views.VIEWS["v_monthly_trend"],
+    "q_v_store_scorecard": views.VIEWS["v_store_scorecard"],
+    "q_v_stock_utilisation": views.VIEWS["v_stock_utilisation"],
+    "q_v_staff_performance": views.VIEWS["v_staff_performance"],
+    "q_v_fee_loss": views.VIEWS["v_fee_loss"],
     # K -- documented metrics
+    "q_kpi": kpis.kpi_row,
     "q_lateness_rows": lateness.lateness_rows,
     "q_customer_window_totals": customers.payment_ltv_rows,
     "q_customer_rental_frequency": customers.rental_frequency_rows,
-    "q_late_rate_gap": lateness.late_rate_gap,
+    "q_revenue_per_copy": revenue.revenue_per_copy,
     "q_concentration": customers.concentration,
-    # V -- published views that are reports in their own right
-    "q_v_category_revenue": revenue.revenue_by_category,
-    "q_v_title_ranking": revenue.title_ranking,
-    "q_v_customer_segments": customers.customer_segments_view,
-    "q_v_fee_loss": lateness.fee_loss_view,
+    "q_late_rate_gap": lateness.late_rate_gap,
+    "q_idle_value_by_category": stores.idle_value_by_category,
+    "q_price_mix_by_store": stores.price_mix_by_store,
 }
 
-# Reports that read raw tables (not roles): name -> function(spark, base).
-TABLE_REPORTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+# Reports that read raw tables or the catalogue: name -> function(spark, base).
+TABLE_REPORTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "q_row_counts": lambda spark, base: quality.row_counts(read_tables(spark, base)),
+    "q_view_inventory": lambda spark, base: views.view_inventory(spark, roles_for(spark, base)),
+}
 
 
 def roles_for(spark: SparkSession, base: str) -> Roles:
