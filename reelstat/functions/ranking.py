@@ -35,10 +35,20 @@ def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one_row))
 
 
-def with_share(df: DataFrame, measure: str, name: str, digits: int = 2) -> DataFrame:
-    """``ROUND(measure * 100 / SUM(measure) OVER (), digits)`` via a one-row total."""
-    tot = df.agg(F.sum(measure).alias("_share_total"))
-    out = attach_one_row(df, tot)
+def with_share(df: DataFrame, measure: str, name: str, digits: int = 2,
+               bounded: bool = False) -> DataFrame:
+    """``ROUND(measure * 100 / SUM(measure) OVER (), digits)``.
+
+    ``bounded=True`` is for aggregates whose row count is fixed by design
+    (categories, stores, segments, bands, weekdays): the total is a window
+    over that small result, computed in the same pass.  Otherwise the total
+    is a one-row aggregate broadcast back, which keeps every task bounded at
+    the price of evaluating ``df`` twice.
+    """
+    if bounded:
+        out = df.withColumn("_share_total", F.sum(measure).over(Window.partitionBy()))
+    else:
+        out = attach_one_row(df, df.agg(F.sum(measure).alias("_share_total")))
     return out.withColumn(name, F.round(dec(measure) * 100
                                         / F.nullif(dec("_share_total"), F.lit(0)), digits)) \
               .drop("_share_total")

@@ -91,8 +91,8 @@ def segment_summary(roles: Roles) -> DataFrame:
         F.sum("ltv").alias("revenue"),
         F.sum("rentals").alias("rentals_sum"),
         F.sum("avg_ticket").alias("ticket_sum"))
-    g = with_share(g, "customers", "pct_customers")
-    g = with_share(g, "revenue", "pct_revenue")
+    g = with_share(g, "customers", "pct_customers", bounded=True)
+    g = with_share(g, "revenue", "pct_revenue", bounded=True)
     return g.select(
         "segment", "customers",
         F.col("pct_customers").cast("double").alias("pct_customers"),

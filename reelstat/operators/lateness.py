@@ -96,7 +96,7 @@ def late_bands(roles: Roles, mode: str = "calendar") -> DataFrame:
     """Returned rentals per late-day band with share of all returned."""
     g = returned_with_title(roles).groupBy(_band(_over(mode)).alias("band")).agg(
         F.count(F.lit(1)).alias("rentals"))
-    g = with_share(g, "rentals", "pct")
+    g = with_share(g, "rentals", "pct", bounded=True)
     return g.select("band", "rentals", F.col("pct").cast("double").alias("pct"))
 
 
@@ -143,7 +143,7 @@ def fee_loss_by_category(roles: Roles, mode: str = "calendar") -> DataFrame:
 
 def fee_loss_view(roles: Roles, mode: str = "calendar") -> DataFrame:
     """V8: C7 plus each category's share of the total loss."""
-    g = with_share(fee_loss_by_category_dec(roles, mode), "_loss", "share_pct")
+    g = with_share(fee_loss_by_category_dec(roles, mode), "_loss", "share_pct", bounded=True)
     return g.select("category", "late_rentals",
                     F.col("late_days").cast("long").alias("late_days"),
                     money_out("_loss").alias("loss"),

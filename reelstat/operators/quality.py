@@ -115,10 +115,11 @@ def duplicate_keys_report(roles: Roles) -> DataFrame:
     })
 
 
-def distribution(df: DataFrame, col: str) -> DataFrame:
-    """Rows per value of ``col`` with share of all rows."""
+def distribution(df: DataFrame, col: str, bounded: bool = True) -> DataFrame:
+    """Rows per value of a low-cardinality ``col`` with share of all rows
+    (``bounded=False`` for a column with unbounded distinct values)."""
     g = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    g = with_share(g, "n", "pct")
+    g = with_share(g, "n", "pct", bounded=bounded)
     return g.select(col, "n", F.col("pct").cast("double").alias("pct"))
 
 

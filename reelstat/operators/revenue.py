@@ -35,7 +35,7 @@ def revenue_by_category(roles: Roles) -> DataFrame:
         F.sum("revenue").alias("revenue"),
         F.sum("n_pay").alias("n_pay"))
     # Categories are a fixed vocabulary: ranking them in one window is bounded.
-    out = with_share(per_cat, "revenue", "share_pct")
+    out = with_share(per_cat, "revenue", "share_pct", bounded=True)
     out = small_rank_desc(out, "revenue", "revenue_rank")
     return out.select(
         "category", "rentals", "titles",
@@ -136,7 +136,7 @@ def revenue_by_price_tier(roles: Roles) -> DataFrame:
         F.sum("rentals").alias("rentals"),
         F.sum("revenue").alias("revenue"),
         F.sum("n_pay").alias("n_pay"))
-    tier = with_share(tier, "revenue", "share_pct")
+    tier = with_share(tier, "revenue", "share_pct", bounded=True)
     return tier.select(
         F.col("rental_rate").cast("double").alias("rental_rate"),
         "titles", "rentals",

@@ -35,7 +35,7 @@ def _sales_by_store(roles: Roles) -> DataFrame:
 
 def store_performance(roles: Roles) -> DataFrame:
     """Rentals, customers, revenue, ticket and per-customer figures per store."""
-    g = with_share(_sales_by_store(roles), "revenue", "share_pct")
+    g = with_share(_sales_by_store(roles), "revenue", "share_pct", bounded=True)
     return g.select(
         "store_id", "rentals", "customers",
         money_out("revenue").alias("revenue"),
@@ -109,7 +109,7 @@ def idle_value_by_category(roles: Roles) -> DataFrame:
     g = _idle_by_store_title(roles).groupBy("category").agg(
         F.sum("idle_copies").alias("idle_copies"),
         F.sum(F.col("idle_copies") * F.col("replacement_cost")).alias("_value"))
-    g = with_share(g, "idle_copies", "idle_share_pct")
+    g = with_share(g, "idle_copies", "idle_share_pct", bounded=True)
     return g.select("category", "idle_copies", money_out("_value").alias("immobilised"),
                     F.col("idle_share_pct").cast("double").alias("idle_share_pct"))
 
@@ -128,7 +128,7 @@ def store_scorecard(roles: Roles, view: bool = False) -> DataFrame:
             mean("revenue", "n_pay", 2, 2).cast("double").alias("avg_ticket"),
             ratio("revenue", "customers", 2).cast("double").alias("revenue_per_customer")]
     if view:
-        j = with_share(j, "revenue", "share_pct")
+        j = with_share(j, "revenue", "share_pct", bounded=True)
         cols += [ratio("rentals", "customers", 2).cast("double").alias("rentals_per_customer"),
                  F.col("share_pct").cast("double").alias("share_pct")]
     cols += ["copies", "moved", (F.col("copies") - F.col("moved")).alias("idle"),

@@ -115,7 +115,7 @@ def weekday_profile(roles: Roles) -> DataFrame:
         weekday_label().alias("weekday")).agg(
         F.sum("n_pay").alias("rentals"),
         F.sum("paid").alias("revenue"))
-    g = with_share(g, "rentals", "pct")
+    g = with_share(g, "rentals", "pct", bounded=True)
     return g.select("weekday_no", "weekday", "rentals",
                     mean("revenue", "rentals", 2, 2).cast("double").alias("avg_ticket"),
                     F.col("pct").cast("double").alias("pct"))
