@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dec, mean, money_out, pct, ratio
-from ..functions.ranking import (attach_one_row, median, rank_desc,
+from ..functions.ranking import (attach_one_row, median, median_of_counts, rank_desc,
                                  small_rank_desc, top_n, with_share)
 from ..plans.bases import paid_rentals
 from ..sources.roles import Roles
@@ -71,8 +71,10 @@ def top_customers(roles: Roles, n: int = 20) -> DataFrame:
 
 def segment_customers(m: DataFrame) -> DataFrame:
     """C3 row level: add ``segment`` from the exact medians of LTV and rentals."""
+    # LTV has up to one distinct value per customer: distributed exact median.
+    # Rental counts have at most sqrt(2N) distinct values: exact percentile.
     cuts = median(m, "ltv", "median_ltv").crossJoin(
-        median(m, "rentals", "median_rentals"))  # one row x one row
+        median_of_counts(m, "rentals", "median_rentals"))  # one row x one row
     s = attach_one_row(m, cuts)
     hi_v = F.col("ltv") >= F.col("median_ltv")
     hi_f = F.col("rentals") >= F.col("median_rentals")

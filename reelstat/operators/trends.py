@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (WEEKDAY_NAMES, dec, mean, money_out, month_start, month_text,
-                               nonzero, pct, weekday_name)
+from ..functions.exprs import (WEEKDAY_NAMES, dec, mean, money_out, month_start, nonzero,
+                               pct, weekday_name)
 from ..functions.ranking import attach_one_row, small_rank_desc, with_share
 from ..plans.bases import paid_rentals, sales
 from ..sources.roles import Roles
@@ -22,16 +22,6 @@ from ..sources.roles import Roles
 PEAK, TROUGH, NORMAL = "Peak", "Trough", "Normal"
 
 
-def _month_key(c: Column, as_text: bool) -> Column:
-    m = month_start(c)
-    return F.date_format(m, "yyyy-MM-dd") if as_text else m
-
-
-def period_counts(df: DataFrame, ts: str, name: str = "month") -> DataFrame:
-    """A4a shape: rows per ``yyyy-MM`` text period of ``ts``."""
-    return df.groupBy(month_text(ts).alias(name)).agg(F.count(F.lit(1)).alias("n"))
-
-
 def monthly_revenue_dec(roles: Roles) -> DataFrame:
     """D1 aggregate: per payment month (payments naming a rental)."""
     p = roles.payment.where(F.col("rental_id").isNotNull())

@@ -1,0 +1,11 @@
+"""Streaming: intentionally empty.
+
+The reports this library rebuilds are batch reports over complete tables
+(audit, revenue, segmentation, lateness, trends, stores, published views).
+They have no event-time windows, watermarks or incremental state, so there
+is no streaming operator to provide.  "Late" in this library means a late
+*return* of a rental, computed in batch from return and rental dates.
+
+Published views can be refreshed by re-running ``plans.views.materialise``
+on a schedule; that is a batch job, not a stream.
+"""
