@@ -85,10 +85,12 @@ def payments_by_year(roles: Roles) -> DataFrame:
         F.round(F.sum("amount"), 2).cast("double").alias("revenue"))
 
 
-def order_violations(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Rows whose ``end`` precedes ``start``, with the day difference."""
+def order_violations(df: DataFrame, key, start: str, end: str) -> DataFrame:
+    """Rows whose ``end`` precedes ``start``, with the day difference.
+    ``key`` is a column name or a list of names carried to the output."""
+    keys = [key] if isinstance(key, str) else list(key)
     return df.where(F.col(end).isNotNull() & (F.col(end) < F.col(start))).select(
-        key, start, end, elapsed_days(start, end).cast("long").alias("diff_days"))
+        *keys, start, end, elapsed_days(start, end).cast("long").alias("diff_days"))
 
 
 def duration_outliers(df: DataFrame, start: str, end: str, days: int = 30) -> DataFrame:
@@ -98,11 +100,16 @@ def duration_outliers(df: DataFrame, start: str, end: str, days: int = 30) -> Da
         F.count(F.lit(1)).alias("n"))
 
 
-def duplicate_keys(keyed: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
-    """A5: COUNT(*) - COUNT(DISTINCT key) per table (NULL keys also count)."""
-    return _union([df.agg((F.count(F.lit(1)) - F.countDistinct(key)).alias("duplicates"))
-                     .select(F.lit(f"{name}.{key}").alias("check_name"), "duplicates")
-                   for name, (df, key) in keyed.items()])
+def duplicate_keys(keyed: Mapping[str, tuple[DataFrame, object]]) -> DataFrame:
+    """A5: COUNT(*) - COUNT(DISTINCT key) per table (NULL keys also count).
+    A key is a column name or a tuple of names (composite key)."""
+    frames = []
+    for name, (df, key) in keyed.items():
+        cols = [key] if isinstance(key, str) else list(key)
+        frames.append(df.agg((F.count(F.lit(1)) - F.countDistinct(*cols)).alias("duplicates"))
+                      .select(F.lit(f"{name}.{'+'.join(cols)}").alias("check_name"),
+                              "duplicates"))
+    return _union(frames)
 
 
 def duplicate_keys_report(roles: Roles) -> DataFrame:
@@ -115,6 +122,32 @@ def duplicate_keys_report(roles: Roles) -> DataFrame:
     })
 
 
+# The key of each test table (composite where no column is unique).
+RAW_KEYS = {
+    "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey",
+    "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey",
+    "lineitem": ("l_orderkey", "l_linenumber"), "events": "event_id",
+    "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id",
+    "benchmark": "item_id", "labels": "doc_id", "conversations": ("conv_id", "turn"),
+}
+
+
+def raw_null_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """A2 over every column of every table (one scan per table)."""
+    return _union([null_profile(df, df.columns, name) for name, df in tables.items()])
+
+
+def raw_duplicate_keys(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """A5 over the key of every table."""
+    return duplicate_keys({n: (df, RAW_KEYS[n]) for n, df in tables.items() if n in RAW_KEYS})
+
+
+def rows_by_month(df: DataFrame, ts: str) -> DataFrame:
+    """A4a on any table: rows per ``yyyy-MM`` of ``ts``."""
+    return df.groupBy(F.date_format(ts, "yyyy-MM").alias("month")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 def distribution(df: DataFrame, col: str, bounded: bool = True) -> DataFrame:
     """Rows per value of a low-cardinality ``col`` with share of all rows
     (``bounded=False`` for a column with unbounded distinct values)."""

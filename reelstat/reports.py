@@ -11,13 +11,14 @@ from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import customers, kpis, lateness, quality, revenue, stores, trends
 from .plans import views
 from .sources.curated import curated_roles
 from .sources.fixture import rental_lines, roles_from_test_tables
 from .sources.roles import Roles
-from .sources.tables import TEST_TABLES, read_tables
+from .sources.tables import TEST_TABLES, read_table, read_tables
 
 RoleReport = Callable[[Roles], DataFrame]
 
@@ -98,6 +99,19 @@ ROLE_REPORTS: dict[str, RoleReport] = {
 TABLE_REPORTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_row_counts": lambda spark, base: quality.row_counts(read_tables(spark, base)),
     "q_view_inventory": lambda spark, base: views.view_inventory(spark, roles_for(spark, base)),
+    # audit operators applied to the raw tables themselves
+    "q_null_profile_raw": lambda spark, base: quality.raw_null_profile(read_tables(spark, base)),
+    "q_duplicate_keys_raw": lambda spark, base: quality.raw_duplicate_keys(
+        read_tables(spark, base)),
+    "q_orders_by_month": lambda spark, base: quality.rows_by_month(
+        read_table(spark, base, "orders"), "o_orderdate"),
+    "q_event_daily_anomalies": lambda spark, base: trends.daily_anomalies(
+        read_table(spark, base, "events"), "ts"),
+    "q_ship_before_order": lambda spark, base: quality.order_violations(
+        read_table(spark, base, "lineitem").join(
+            read_table(spark, base, "orders").select("o_orderkey", "o_orderdate"),
+            F.col("l_orderkey") == F.col("o_orderkey")),
+        ["l_orderkey", "l_linenumber", "l_partkey"], "o_orderdate", "l_shipdate"),
 }
 
 
