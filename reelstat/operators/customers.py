@@ -15,6 +15,7 @@ from ..functions.exprs import dec, mean, money_out, pct, ratio
 from ..functions.ranking import (attach_one_row, median, median_of_counts, rank_desc,
                                  small_rank_desc, top_n, with_share)
 from ..plans.bases import paid_rentals
+from ..sources.curated import derived
 from ..sources.roles import Roles
 
 # Quadrant labels (LTV x frequency, medians as cut points).
@@ -25,7 +26,17 @@ AT_RISK = "At Risk"
 
 
 def customer_metrics_dec(roles: Roles, active_only: bool = True) -> DataFrame:
-    """C1 with exact decimals: one row per customer with a paid rental."""
+    """C1 with exact decimals: one row per customer with a paid rental.
+
+    Segment reports read this table three or four times in one plan (two
+    medians, a rank, a total), so with curated roles it is written once
+    (``sources.curated.derived``) instead of being recomputed per branch.
+    """
+    name = "customer_metrics_active" if active_only else "customer_metrics_all"
+    return derived(roles, name, lambda: _customer_metrics(roles, active_only))
+
+
+def _customer_metrics(roles: Roles, active_only: bool) -> DataFrame:
     per = paid_rentals(roles).groupBy("customer_id").agg(
         F.sum("paid").alias("ltv"),
         F.count(F.lit(1)).alias("rentals"),

@@ -70,7 +70,29 @@ def materialize(spark: SparkSession, roles: Roles, tag: str,
         else:
             df.write.mode("overwrite").parquet(path)
             out[role] = spark.read.parquet(path)
-    return Roles(**out)
+    return Roles(**out, curated_at=root)
+
+
+_derived: dict[tuple, DataFrame] = {}
+
+
+def derived(roles: Roles, name: str, build) -> DataFrame:
+    """A table derived from curated roles, written once next to them.
+
+    Reports that reuse one intermediate several times in a plan (the
+    per-customer metrics feed medians, ranks and totals) read it from a
+    written table instead of recomputing it per branch.  Lazy roles (hand
+    fixtures, ``materializeRoles=false``) just get ``build()``.
+    """
+    if roles.curated_at is None:
+        return build()
+    spark = roles.rental.sparkSession
+    key = (id(spark._jsparkSession), roles.curated_at, name)
+    if key not in _derived:
+        path = f"{roles.curated_at}/derived/{name}"
+        build().write.mode("overwrite").parquet(path)
+        _derived[key] = spark.read.parquet(path)
+    return _derived[key]
 
 
 def curated_roles(spark: SparkSession, base: str, derive, names,

@@ -21,9 +21,11 @@ class Roles:
     customer: DataFrame
     staff: DataFrame
     store: DataFrame
+    # Folder of the curated copy these roles were read from (None: lazy plans).
+    curated_at: str | None = None
 
     def as_dict(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "curated_at"}
 
 
 def conform(df: DataFrame, role: str) -> DataFrame:
