@@ -15,11 +15,20 @@ from pyspark.sql import functions as F
 from ..functions.exprs import avg_money, money_out, ratio
 from ..functions.ranking import rank_desc, small_rank_desc, top_n, with_share
 from ..plans.bases import copy_dim, sales, title_dim
+from ..sources.curated import derived
 from ..sources.roles import Roles
 
 
 def _title_sales(roles: Roles) -> DataFrame:
-    """Per title and category: rentals, revenue and payment count."""
+    """Per title and category: rentals, revenue and payment count.
+
+    Shared by the category, title and ranking reports; with curated roles it
+    is written once (the distributed rank reads its input twice).
+    """
+    return derived(roles, "title_sales", lambda: _title_sales_plan(roles))
+
+
+def _title_sales_plan(roles: Roles) -> DataFrame:
     return sales(roles).groupBy(
         "title_id", "title", "category", "rental_rate", "rating").agg(
         F.count(F.lit(1)).alias("rentals"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import dec, mean, month_start, money_out, pct, ratio
 from ..functions.ranking import rank_desc, small_rank_desc, with_share
 from ..plans.bases import copy_dim, paid_rentals, sales, title_dim, with_sale_store
+from ..sources.curated import derived
 from ..sources.roles import Roles
 
 # Utilisation labels (long report form, short view form) and cuts.
@@ -138,13 +139,12 @@ def store_scorecard(roles: Roles, view: bool = False) -> DataFrame:
 
 def staff_performance(roles: Roles) -> DataFrame:
     """Per staff member with paid rentals: volume, customers,
-    revenue, ticket, share, rank (distributed: staff count grows with data)."""
-    per_cust = paid_rentals(roles).groupBy("staff_id", "customer_id").agg(
-        F.count(F.lit(1)).alias("rentals"), F.sum("paid").alias("revenue"),
-        F.sum("n_pay").alias("n_pay"))
-    per = per_cust.groupBy("staff_id").agg(
-        F.count(F.lit(1)).alias("customers"), F.sum("rentals").alias("rentals"),
-        F.sum("revenue").alias("revenue"), F.sum("n_pay").alias("n_pay"))
+    revenue, ticket, share, rank (distributed: staff count grows with data).
+
+    The per-staff aggregate feeds the total, the rank and the output; with
+    curated roles it is written once instead of being recomputed per branch.
+    """
+    per = derived(roles, "staff_sales", lambda: _staff_sales(roles))
     staff = roles.staff.select(
         "staff_id", F.concat("first_name", F.lit(" "), "last_name").alias("staff_name"),
         "store_id")
@@ -159,6 +159,15 @@ def staff_performance(roles: Roles) -> DataFrame:
         ratio("revenue", "customers", 2).cast("double").alias("revenue_per_customer"))
 
 
+def _staff_sales(roles: Roles) -> DataFrame:
+    per_cust = paid_rentals(roles).groupBy("staff_id", "customer_id").agg(
+        F.count(F.lit(1)).alias("rentals"), F.sum("paid").alias("revenue"),
+        F.sum("n_pay").alias("n_pay"))
+    return per_cust.groupBy("staff_id").agg(
+        F.count(F.lit(1)).alias("customers"), F.sum("rentals").alias("rentals"),
+        F.sum("revenue").alias("revenue"), F.sum("n_pay").alias("n_pay"))
+
+
 def staff_by_month(roles: Roles) -> DataFrame:
     """Revenue per payment month and staff member, rank inside the month
     (distributed rank partitioned by month)."""
