@@ -58,16 +58,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder there).  Only when it is unset -- local runs and tests -- a private
     scratch folder is created and registered.
     """
+    key = id(spark._jsparkSession)
+    if key in _local_dirs:
+        return _local_dirs[key]
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
+        # Unset (tests, local runs): a private folder, registered with the
+        # context only -- core settings cannot be changed at run time.
         d = tempfile.mkdtemp(prefix="reelstat-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d.rstrip("/")
+        spark.sparkContext.setCheckpointDir(d)
+    _local_dirs[key] = d.rstrip("/")
+    return _local_dirs[key]
+
+
+_local_dirs: dict[int, str] = {}
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:

@@ -63,7 +63,10 @@ def materialize(spark: SparkSession, roles: Roles, tag: str,
         path = f"{root}/{role}"
         if role in BUCKETED:
             name = _table_name(tag, role)
-            (df.write.mode("overwrite").option("path", path)
+            # Hash-partition by the bucket key first: every write task then
+            # holds exactly one bucket and writes one file.
+            (df.repartition(n, BUCKETED[role])
+               .write.mode("overwrite").option("path", path)
                .bucketBy(n, BUCKETED[role]).sortBy(BUCKETED[role])
                .saveAsTable(name))
             out[role] = spark.table(name)
