@@ -55,29 +55,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and materialised intermediates.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster names a shared
-    folder there).  Only when it is unset -- local runs and tests -- a private
-    scratch folder is created and registered.
+    folder there).  Only in local mode, where the driver is the only executor,
+    a private scratch folder stands in for an unset value; on any other master
+    an unset value is an error, because executors would not see each other's
+    local files.
     """
-    key = id(spark._jsparkSession)
+    context = spark.sparkContext
+    key = context.applicationId
     if key in _local_dirs:
         return _local_dirs[key]
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        d = context.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        # Unset (tests, local runs): a private folder, registered with the
-        # context only -- core settings cannot be changed at run time.
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="reelstat-ckpt-")
-        spark.sparkContext.setCheckpointDir(d)
+        context.setCheckpointDir(d)
     _local_dirs[key] = d.rstrip("/")
     return _local_dirs[key]
 
 
-_local_dirs: dict[int, str] = {}
+_local_dirs: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
-    return "/".join([checkpoint_dir(spark)] + [p.strip("/") for p in parts])
+    """A path under the shared folder that belongs to this application alone."""
+    own = spark.sparkContext.applicationId
+    return "/".join([checkpoint_dir(spark), own] + [p.strip("/") for p in parts])
 
 
 def local_test_session(cores: int | None = None) -> SparkSession:
