@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,7 +63,3 @@ def slices(spark: SparkSession) -> int:
     """How many parts to deal work into: the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-
-def in_slices(items: list, size: int) -> Iterable[list]:
-    for at in range(0, len(items), size):
-        yield items[at:at + size]

@@ -2,17 +2,45 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup
+from ..session import scratch_path
+from . import byte_bpe, exact_dedup, token_files
 from .common import documents
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = byte_bpe.encode(documents(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode(encoded, BYTE_RANKS, public_tokenizers.PATTERN)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256)
+         .alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "llm", f"token-files-{uuid.uuid4().hex}")
+    token_files.write_token_files(documents(spark, sf_dir), path, BYTE_BPE)
+    return token_files.read_token_files(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op5_byte_bpe": op5_byte_bpe,
+    "op9_token_files": op9_token_files,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
