@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +19,24 @@ ASCII_SPACE = "\\x20\\x09-\\x0D"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application.
+
+    The archive is made where the driver runs and Spark hands it to every
+    executor (``addPyFile``); nothing is read from that folder by others.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        spark.sparkContext.addPyFile(shutil.make_archive(
+            os.path.join(tempfile.mkdtemp(prefix="reelstat-"), "reelstat"), "zip",
+            os.path.dirname(package), os.path.basename(package)))
+        _shipped.add(app)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
@@ -26,6 +47,7 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Whatever else the input carries (also columns with clashing names) never
     meets the operator's own columns.
     """
+    ship_package(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 

@@ -97,15 +97,18 @@ class BKTree:
 
 
 def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """(member, first member that it reaches) for the members that reach one."""
-    tree = BKTree(values)
+    """(member, first member that it reaches) for the members that reach one.
+
+    Values are signed; without the sign the difference of two has the right bits."""
+    bits = [v & (1 << BITS) - 1 for v in values]
+    tree = BKTree(bits)
     reached = [-1] * len(values)
     for first in range(len(values)):
         if reached[first] >= 0:
             continue
         reached[first], todo = first, [first]
         while todo:
-            for other in tree.within(values[todo.pop()], radius):
+            for other in tree.within(bits[todo.pop()], radius):
                 if reached[other] < 0:
                     reached[other] = first
                     todo.append(other)
