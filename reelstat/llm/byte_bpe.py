@@ -80,6 +80,8 @@ class ByteBPE:
 
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First character of each token, and the one after its last."""
+        if not len(ids):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         raw = np.frombuffer(text.encode(), np.uint8)
         character = np.cumsum((raw & 0xC0) != 0x80) - 1  # of each byte
         ends = np.cumsum(self.lengths[ids])
@@ -113,23 +115,19 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_offsets: bool =
     schema = "doc_id long, ids array<int>"
     schema += ", starts array<int>, ends array<int>" if with_offsets else ""
 
-    def lists(arrays):
-        sizes = np.array([0, *[len(a) for a in arrays]])
-        return pa.ListArray.from_arrays(
-            pa.array(np.cumsum(sizes), pa.int32()),
-            pa.array(np.concatenate([*arrays, np.zeros(0, np.int32)]).astype(np.int32)))
+    def lists(values, ends):
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()),
+                                        pa.array(values.astype(np.int32)))
 
     def run(batches):
         bpe = model(ranks_path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                texts = part.column("text").to_pylist()
-                ids = [bpe.encode(t) for t in texts]
-                out = [part.column("doc_id"), lists(ids)]
+            for part, ids, ends in bpe.encoder.encode_column(batch):
+                out = [part.column("doc_id"), lists(ids, ends)]
                 if with_offsets:
-                    spans = [bpe.offsets(t, i) if len(i) else (i, i) for t, i in zip(texts, ids)]
-                    out += [lists([s for s, _ in spans]), lists([e for _, e in spans])]
+                    spans = [bpe.offsets(text, i) for text, i in zip(
+                        part.column("text").to_pylist(), np.split(ids, ends[:-1]))]
+                    out += [lists(np.concatenate(s), ends) for s in zip(*spans)]
                 names = ["doc_id", "ids", "starts", "ends"]
                 yield pa.RecordBatch.from_arrays(out, names[:len(out)])
 

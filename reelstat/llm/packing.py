@@ -173,17 +173,20 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     def run(batches):
         encoder, end = word_encoder(tokenizer_path, drops_space=True), np.array([end_id], ID_TYPE)
         for batch in batches:
-            for at in range(batch.num_rows):
-                ids = np.concatenate([encoder.encode(batch["text"][at].as_py()), end])
-                starts = range(0, len(ids), capacity)
-                parts = [ids[s:s + capacity] for s in starts]
-                same = pa.array([at] * len(parts), pa.int32())
+            for rows, ids, ends in encoder.encode_column(batch):
+                texts, starts, sizes, parts = [], [], [], []
+                for at, text in enumerate(np.split(ids, ends[:-1])):
+                    text = np.concatenate([text, end])
+                    for start in range(0, len(text), capacity):
+                        texts.append(at)
+                        starts.append(start)
+                        sizes.append(len(text))
+                        parts.append(text[start:start + capacity].tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].take(same), batch["text_hash"].take(same),
-                     pa.array(list(starts), pa.int64()),
-                     pa.array([len(p) for p in parts], pa.int64()),
-                     pa.array([len(ids)] * len(parts), pa.int64()),
-                     pa.array([p.tobytes() for p in parts], pa.binary())],
+                    [rows["doc_id"].take(pa.array(texts)), rows["text_hash"].take(pa.array(texts)),
+                     pa.array(starts, pa.int64()),
+                     pa.array([len(p) // ID_TYPE.itemsize for p in parts], pa.int64()),
+                     pa.array(sizes, pa.int64()), pa.array(parts, pa.binary())],
                     ["doc_id", "text_hash", "start", "length", "doc_tokens", "ids"])
 
     return id_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text")).mapInArrow(

@@ -37,17 +37,22 @@ def _selectors(values: np.ndarray, block: int) -> np.ndarray:
     that holds most of the numbers from there to the end of the block."""
     n = len(values)
     rows = -(-n // block)
-    padded = np.full((rows, block), np.iinfo(np.uint64).max, np.uint64)
+    # 32 bits hold most ids, and comparing them is half the work
+    kind = np.uint32 if values.max() < np.iinfo(np.uint32).max else np.uint64
+    padded = np.full((rows, block), np.iinfo(kind).max, kind)
     padded.reshape(-1)[:n] = values
     best = np.full((rows, block), ESCAPE, np.uint8)
     for selector in range(len(COUNTS), 0, -1):  # from wide to narrow numbers
         count, width = COUNTS[selector - 1], WIDTHS[selector - 1]
         if count > block:
             break
-        fits = _runs(padded < np.uint64(1 << width), count)
+        limit = 1 << width
+        narrow = padded < kind(limit) if limit <= np.iinfo(kind).max else \
+            np.arange(rows * block).reshape(rows, block) < n
+        fits = _runs(narrow, count)
         if not fits.any():
             break  # longer runs of narrower numbers there are none either
-        best[:, :fits.shape[1]][fits] = selector
+        np.putmask(best[:, :fits.shape[1]], fits, np.uint8(selector))
     return best.reshape(-1)[:n]
 
 
@@ -59,7 +64,7 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
         return np.zeros(0, WORD), np.zeros(0, np.int64)
     starts = np.arange(0, n, block)
     selector = _selectors(values, block)
-    step = _PER_WORD[selector].tolist()
+    step = _PER_WORD.astype(np.uint8)[selector].tobytes()
     at, places = 0, []
     while at < n:
         places.append(at)

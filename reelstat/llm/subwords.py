@@ -7,6 +7,8 @@ at those spaces, each distinct word encoded once by the library's own
 pre-tokenizer and BPE model, and the text's ids put together from a table of
 words already met.  The table holds two generations of at most ``max_words`` words:
 when the young one is full it becomes the old one, and words met again move up.
+Arrow splits the texts of a batch and numbers their distinct words, so the table
+is asked once a batch for each of them, and numpy lays out the ids.
 """
 
 from __future__ import annotations
@@ -16,17 +18,24 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Cut before a space with a visible character on either side: the general rule.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: A space for which plain splitting would break a run of white space.
-_RUN = re.compile(r"\s (?:\s|\Z)|\A ")
-#: Letters whose class, lower case and normal form are the same in all libraries,
-#: then punctuation: two pre-tokens, no need to ask the library.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-
-MAX_WORDS = 400_000
+_RUN = re.compile(r"(?<!\S) (?!\S)|\A ")
+#: Letters whose class, lower case and normal form are the same in all libraries;
+#: ASCII punctuation but the apostrophe, which can begin a contraction; and a
+#: line feed that is no part of a run of white space.  A word that consists of
+#: runs of these has them as its pre-tokens, no need to ask the library.
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+_PLAIN = re.compile(rf"[{_LETTERS}{_SIGNS}](?:[{_LETTERS}{_SIGNS}]|\n(?!\s))*")
+_PARTS = re.compile(rf"[{_LETTERS}]+|[{_SIGNS}]+|\n")
+
+MAX_WORDS = 200_000
 MAX_WORD_CHARS = 64
+SLICE_BYTES = 8_000_000
 ID_TYPE = np.dtype("<u4")
 
 
@@ -69,6 +78,7 @@ class WordEncoder:
         self.normalizer = tokenizer.normalizer
         self.bytes_to_chars = str.maketrans(
             {chr(b): c for b, c in enumerate(byte_characters())})
+        self.before = "" if drops_space else byte_characters()[ord(" ")]
         self.pieces = _Recent(self._encode_piece, max_words)
         self.words = _Recent(self._encode_word, max_words)
 
@@ -78,29 +88,74 @@ class WordEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _encode_word(self, word: str, before: str | None = None) -> bytes:
-        before = ("" if self.drops_space else " ") if before is None else before
-        plain = _PLAIN.fullmatch(word)
-        if plain:
-            first, rest = plain.groups()
-            first = first.lower() if self.drops_space else before + first
-            ids = self.pieces[first.encode().decode("latin-1").translate(self.bytes_to_chars)]
-            return ids + self.pieces[rest] if rest else ids
-        word = before + word
+        before = self.before if before is None else before
+        if word.isascii() and word.isalpha():
+            return self.pieces[word.lower() if self.drops_space else before + word]
+        if _PLAIN.fullmatch(word):
+            if self.drops_space:
+                word = word.lower()
+            parts = _PARTS.findall(word)
+            if not word.isascii() or "\n" in word:
+                parts = [p.encode().decode("latin-1").translate(self.bytes_to_chars)
+                         for p in parts]
+            parts[0] = before + parts[0]
+            return b"".join([self.pieces[p] for p in parts])
+        word = ("" if before == "" else " ") + word
         if self.normalizer is not None:
             word = self.normalizer.normalize_str(word)
         return b"".join([self.pieces[p] for p, _ in self.splitter.pre_tokenize_str(word)])
 
-    def encode(self, text: str) -> np.ndarray:
-        first = b""
+    def _encode_runs(self, text: str) -> bytes:
+        """A text in which some spaces belong to a run of white space."""
+        head, *words = _CUT.split(text)
+        return self._encode_word(head, "") + b"".join([self.words[w[1:]] for w in words])
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's ids end."""
+        heads = []  # ids of what stands before the first cut
         if self.drops_space:
-            words = text.replace("\n", " ").split(" ")
-        elif _RUN.search(text):
-            head, *words = _CUT.split(text)
-            first, words = self._encode_word(head, ""), [w[1:] for w in words]
+            texts = pc.replace_substring(texts, "\n", " ")
         else:
-            head, *words = text.split(" ")
-            first = self._encode_word(head, "")
-        return np.frombuffer(first + b"".join(map(self.words.__getitem__, words)), ID_TYPE)
+            rest = []
+            for text in texts.to_pylist():
+                if _RUN.search(text):
+                    heads.append(self._encode_runs(text))
+                    rest.append("")
+                else:
+                    heads.append(self._encode_word(text.partition(" ")[0], ""))
+                    rest.append(text)
+            texts = pa.array(rest, pa.large_string())
+        split = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        words = split.flatten().dictionary_encode()
+        at = words.indices.to_numpy()
+        ends = np.cumsum(pc.list_value_length(split).to_numpy())
+        table = list(map(self.words.__getitem__, words.dictionary.to_pylist()))
+        if heads:
+            at = at.copy()
+            at[np.concatenate([[0], ends[:-1]])] = len(table) + np.arange(len(heads))
+            table += heads
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // ID_TYPE.itemsize
+        placed = np.concatenate([[0], np.cumsum(sizes[at])])
+        ids = b"".join(map(table.__getitem__, at.tolist()))
+        return np.frombuffer(ids, ID_TYPE), placed[ends]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_batch(pa.array([text], pa.large_string()))[0]
+
+    def encode_column(self, batch: pa.RecordBatch, column: str = "text"):
+        """Slices of a batch with the ids of their texts."""
+        for part in text_slices(batch, column):
+            yield part, *self.encode_batch(part.column(column))
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES):
+    """Slices of a batch whose texts have at most ``most`` bytes (or one text)."""
+    sizes = pc.binary_length(batch.column(column)).to_numpy()
+    at = 0
+    while at < batch.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[at:], dtype=np.int64), most, "right")))
+        yield batch.slice(at, n)
+        at += n
 
 
 _encoders: dict[tuple, WordEncoder] = {}

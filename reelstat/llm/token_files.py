@@ -59,15 +59,17 @@ def _segments(tokenizer_path: str, end_id: int, segment_ids: int):
                 "words": pa.array([words.tobytes()], pa.binary())})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = encoder.encode(text.as_py())
-                doc_ids.append(doc_id)
-                parts.append(ids)
-                held += len(ids) + 1
-                if held >= segment_ids:
-                    yield segment()
-                    offset += held
-                    doc_ids, parts, held = [], [], 0
+            for rows, ids, ends in encoder.encode_column(batch):
+                start = 0
+                for doc_id, stop in zip(rows.column("doc_id").to_pylist(), ends.tolist()):
+                    doc_ids.append(doc_id)
+                    parts.append(ids[start:stop])
+                    held += stop - start + 1
+                    start = stop
+                    if held >= segment_ids:
+                        yield segment()
+                        offset += held
+                        doc_ids, parts, held = [], [], 0
         if parts:
             yield segment()
 
