@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, exact_dedup, packing, simhash, token_files
+from . import byte_bpe, exact_dedup, ngram_lm, packing, simhash, token_files, toxicity
+from ..sources.tables import read_table
 from .common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +18,10 @@ BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_held_out(documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), WORD_BPE).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -37,6 +42,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_held_out(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "llm", f"token-files-{uuid.uuid4().hex}")
     token_files.write_token_files(documents(spark, sf_dir), path, BYTE_BPE)
@@ -49,9 +58,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_ngram_lm": op2_ngram_lm,
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
     "op5_byte_bpe": op5_byte_bpe,
+    "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_exact_dedup": op10_exact_dedup,
 }
