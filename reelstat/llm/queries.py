@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, exact_dedup, license_scan, ngram_lm, packing, simhash, token_files, toxicity
+from . import byte_bpe, exact_dedup, license_scan, ngram_lm, packing, simhash, token_files, toxicity, weighted_sampling
 from ..sources.tables import read_table
 from .common import documents
 
@@ -42,6 +42,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.fingerprints(documents(spark, sf_dir))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_weighted_sampling": op6_weighted_sampling,
     "op7_license_scan": op7_license_scan,
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
