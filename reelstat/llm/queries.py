@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, exact_dedup, license_scan, ngram_lm, packing, simhash, token_files, toxicity, weighted_sampling
+from . import byte_bpe, exact_dedup, license_scan, line_dedup, ngram_lm, packing, simhash, token_files, toxicity, weighted_sampling
 from ..sources.tables import read_table
 from .common import documents
 
@@ -18,6 +18,10 @@ BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(documents(spark, sf_dir))
+
+
 def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_held_out(documents(spark, sf_dir))
 
@@ -66,6 +70,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_ngram_lm": op2_ngram_lm,
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
