@@ -1,8 +1,9 @@
 """DuckDB-side building blocks of the oracle SQL.
 
 The oracle derives the rental roles from the raw test tables with plain SQL
-(CTEs below) and then states each report the way the source scripts do: join
-chains, COUNT(DISTINCT), ROW_NUMBER medians, LEFT JOIN ... IS NULL anti joins.
+(CTEs below) and then states each report from its definition, in another shape
+than the Spark plans: flags and correlated EXISTS instead of anti joins, ranks as
+one plus the number of larger values, DuckDB's own quantiles as medians.
 
 DuckDB's decimal division and AVG return DOUBLE, so every rounded figure is
 computed on integer cents and rounded half away from zero by integer
@@ -37,7 +38,7 @@ staffs AS (
          TRUE AS active
   FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 copies AS (
-  SELECT p_partkey * 25 + n_nationkey AS copy_id, p_partkey AS title_id,
+  SELECT p_partkey * 1000 + n_nationkey AS copy_id, p_partkey AS title_id,
          CAST(n_regionkey AS BIGINT) AS store_id
   FROM part, nation),
 customers AS (
@@ -54,9 +55,9 @@ lines AS (
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
        JOIN supplier s ON l.l_suppkey = s.s_suppkey),
 rentals AS (
-  SELECT l_orderkey * 1000 + rn AS rental_id,
+  SELECT l_orderkey * 16777216 + rn AS rental_id,
          o_orderdate + to_hours(l_suppkey % 24) AS rental_date,
-         l_partkey * 25 + s_nationkey AS copy_id,
+         l_partkey * 1000 + s_nationkey AS copy_id,
          o_custkey AS customer_id,
          CASE WHEN l_linenumber = 7 AND l_returnflag = 'N' THEN NULL
               ELSE o_orderdate + to_hours(CAST(trunc(l_quantity) AS BIGINT) * 9 + l_partkey % 24)
@@ -64,9 +65,9 @@ rentals AS (
          l_suppkey AS staff_id
   FROM lines),
 payments AS (
-  SELECT l_orderkey * 1000 + rn AS payment_id, o_custkey AS customer_id, l_suppkey AS staff_id,
+  SELECT l_orderkey * 16777216 + rn AS payment_id, o_custkey AS customer_id, l_suppkey AS staff_id,
          CASE WHEN l_linenumber = 1 AND l_returnflag = 'R' AND l_linestatus = 'O' THEN NULL
-              ELSE l_orderkey * 1000 + rn END AS rental_id,
+              ELSE l_orderkey * 16777216 + rn END AS rental_id,
          CAST(l_extendedprice AS DECIMAL(12,2)) AS amount,
          CAST(round(l_extendedprice * 100) AS BIGINT) AS amount_cents,
          o_orderdate AS payment_date

@@ -25,14 +25,18 @@ def nonzero(c) -> Column:
     return F.nullif(col(c), F.lit(0))
 
 
-def ratio(num, den, digits: int) -> Column:
-    """ROUND(num / NULLIF(den, 0), digits) on exact decimals."""
-    return F.round(dec(num) / nonzero(dec(den)), digits)
+def ratio(num, den, digits: int, scale: int = 2) -> Column:
+    """ROUND(num / NULLIF(den, 0), digits) on exact decimals.
 
+    ``scale`` is the number of decimals the operands have; nothing is rounded
+    before the division.  The quotient has 16 decimals or more."""
+    return F.round(dec(num, 20 + scale, scale) / nonzero(dec(den, 20 + scale, scale)), digits)
 
-def pct(num, den, digits: int = 2) -> Column:
-    """ROUND(num * 100 / NULLIF(den, 0), digits) on exact decimals."""
-    return F.round(dec(num) * 100 / nonzero(dec(den)), digits)
+
+def pct(num, den, digits: int = 2, scale: int = 2) -> Column:
+    """ROUND(num * 100 / NULLIF(den, 0), digits), as ``ratio``."""
+    return F.round(dec(num, 20 + scale, scale) * 100 / nonzero(dec(den, 20 + scale, scale)),
+                   digits)
 
 
 def mean(total, count, src_scale: int = 2, digits: int = 2) -> Column:

@@ -23,7 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exprs import dec
+from ..session import stored
+from .exprs import dec, pct
 
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -36,22 +37,20 @@ def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def with_share(df: DataFrame, measure: str, name: str, digits: int = 2,
-               bounded: bool = False) -> DataFrame:
+               bounded: bool = False, scale: int = 2) -> DataFrame:
     """``ROUND(measure * 100 / SUM(measure) OVER (), digits)``.
 
     ``bounded=True`` is for aggregates whose row count is fixed by design
     (categories, stores, segments, bands, weekdays): the total is a window
     over that small result, computed in the same pass.  Otherwise the total
     is a one-row aggregate broadcast back, which keeps every task bounded at
-    the price of evaluating ``df`` twice.
+    the price of evaluating ``df`` twice.  ``scale``: decimals of the measure.
     """
     if bounded:
         out = df.withColumn("_share_total", F.sum(measure).over(Window.partitionBy()))
     else:
         out = attach_one_row(df, df.agg(F.sum(measure).alias("_share_total")))
-    return out.withColumn(name, F.round(dec(measure) * 100
-                                        / F.nullif(dec("_share_total"), F.lit(0)), digits)) \
-              .drop("_share_total")
+    return out.withColumn(name, pct(measure, "_share_total", digits, scale)).drop("_share_total")
 
 
 def _buckets(df: DataFrame) -> int:
@@ -66,22 +65,28 @@ def _ordered_prefix(counts: DataFrame, keys: Sequence[str], order: Column,
     ``counts`` is unique on (keys, order value).  Range partitioning gives each
     row a bucket ``_b`` in sort order; bucket totals (at most buckets + groups
     rows) give the offset of each bucket, and a window inside one bucket gives
-    the local part.
+    the local part.  The bounds of the ranges come from a sample, so the rows
+    are written with their bucket once and both uses read the same buckets.
+    NULL keys are a group like any other.
     """
     part_keys = [F.col(k) for k in keys]
-    ranged = (counts.repartitionByRange(buckets, *part_keys, order)
-              .withColumn("_b", F.spark_partition_id()))
+    ranged = stored(counts.repartitionByRange(buckets, *part_keys, order)
+                    .withColumn("_b", F.spark_partition_id()), "ranged")
     bucket_tot = ranged.groupBy("_b", *keys).agg(F.sum(n_col).alias("_bn"))
     w_off = (Window.partitionBy(*keys).orderBy("_b")
              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = bucket_tot.select("_b", *keys,
+    offsets = bucket_tot.select(F.col("_b").alias("_ob"),
+                                *[F.col(k).alias(f"_o_{k}") for k in keys],
                                 F.coalesce(F.sum("_bn").over(w_off), F.lit(0)).alias("_off"))
     w_loc = (Window.partitionBy("_b", *keys).orderBy(order)
              .rowsBetween(Window.unboundedPreceding, -1))
     local = ranged.withColumn("_loc", F.coalesce(F.sum(n_col).over(w_loc), F.lit(0)))
-    return (local.join(offsets, ["_b", *keys])
+    same = F.col("_b") == F.col("_ob")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    return (local.join(offsets, same)
                  .withColumn("_before", F.col("_off") + F.col("_loc"))
-                 .drop("_b", "_off", "_loc"))
+                 .drop("_b", "_off", "_loc", "_ob", *[f"_o_{k}" for k in keys]))
 
 
 def rank_desc(df: DataFrame, value: str, name: str = "rank",
@@ -94,11 +99,12 @@ def rank_desc(df: DataFrame, value: str, name: str = "rank",
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     pref = _ordered_prefix(counts, keys, F.col(value).desc_nulls_last(), "_n",
                            buckets or _buckets(df))
-    ranks = pref.select(*keys, F.col(value).alias("_rv"),
+    ranks = pref.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col(value).alias("_rv"),
                         (F.col("_before") + 1).cast("long").alias(name))
-    cond = [df[k] == ranks[k] for k in keys] + [df[value].eqNullSafe(ranks["_rv"])]
-    out = df.join(ranks, cond, "inner")
-    return out.drop(*[ranks[k] for k in keys]).drop("_rv")
+    same = F.col(value).eqNullSafe(F.col("_rv"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return df.join(ranks, same).drop("_rv", *[f"_r_{k}" for k in keys])
 
 
 def small_rank_desc(df: DataFrame, value: str, name: str = "rank",

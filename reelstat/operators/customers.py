@@ -139,15 +139,17 @@ def customer_segments_view(roles: Roles) -> DataFrame:
 def payment_ltv_rows(roles: Roles) -> DataFrame:
     """K8: every payment with its customer's LTV and payment count.
 
-    Same result as ``SUM(amount) OVER (PARTITION BY customer_id)``, computed as
-    a per-customer aggregate joined back: a customer with a huge share of the
-    payments is split by AQE's skew join instead of sorting in one task.
+    Same result as ``SUM(amount) OVER (PARTITION BY customer_id)`` (NULL is a
+    customer like any other), computed as a per-customer aggregate joined back.
+    The totals are written first, so both sides of the join are plain shuffles
+    and AQE's skew join can split a customer with a huge share of the payments.
     """
     p = roles.payment
-    per = p.groupBy("customer_id").agg(
+    per = derived(roles, "customer_payment_totals", lambda: p.groupBy(
+        F.col("customer_id").alias("_customer")).agg(
         F.sum("amount").alias("customer_ltv"),
-        F.count(F.lit(1)).alias("customer_payments"))
-    return p.join(per, "customer_id").select(
+        F.count(F.lit(1)).alias("customer_payments")))
+    return p.join(per, F.col("customer_id").eqNullSafe(F.col("_customer"))).select(
         "payment_id", "customer_id",
         money_out("amount").alias("amount"),
         money_out("customer_ltv").alias("customer_ltv"),
@@ -157,8 +159,11 @@ def payment_ltv_rows(roles: Roles) -> DataFrame:
 def rental_frequency_rows(roles: Roles) -> DataFrame:
     """K8: every rental with its customer's rental count."""
     r = roles.rental
-    per = r.groupBy("customer_id").agg(F.count("rental_id").alias("customer_rentals"))
-    return r.join(per, "customer_id").select("rental_id", "customer_id", "customer_rentals")
+    per = derived(roles, "customer_rental_counts", lambda: r.groupBy(
+        F.col("customer_id").alias("_customer")).agg(
+        F.count("rental_id").alias("customer_rentals")))
+    return r.join(per, F.col("customer_id").eqNullSafe(F.col("_customer"))).select(
+        "rental_id", "customer_id", "customer_rentals")
 
 
 def concentration(roles: Roles, top_share: float = 0.2, bottom_share: float = 0.4,

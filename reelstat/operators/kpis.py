@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import money_out, pct, ratio
+from ..functions.exprs import daily_rate, money_out, pct, ratio
 from ..sources.roles import Roles
-from .lateness import _late, _over
-from ..plans.bases import returned_with_title
+from .lateness import _late_base
 
 
 def kpi_row(roles: Roles, mode: str = "calendar") -> DataFrame:
@@ -21,17 +20,16 @@ def kpi_row(roles: Roles, mode: str = "calendar") -> DataFrame:
                             F.count("rental_id").alias("_paid_rentals"))
     per_cust = roles.rental.groupBy("customer_id").agg(F.count("rental_id").alias("_n"))
     freq = per_cust.agg(F.sum("_n").alias("_rentals"), F.count(F.lit(1)).alias("_customers"))
-    d = _over(mode)
-    late = returned_with_title(roles).agg(
-        F.sum(F.when(d > 0, 1).otherwise(0)).alias("_late"),
-        F.count(F.lit(1)).alias("_returned"))
+    n, over = F.col("n"), F.col("over")
+    rate = daily_rate("rental_rate", "rental_duration")
+    late = _late_base(roles, mode).agg(
+        F.sum(F.when(over > 0, n).otherwise(0)).alias("_late"), F.sum("n").alias("_returned"),
+        F.sum(F.when(over > 0, over * n * rate)).alias("_loss"))
     moved = roles.rental.select("copy_id").distinct().join(
         roles.copy.select("copy_id"), "copy_id").agg(F.count(F.lit(1)).alias("_moved"))
     copies = roles.copy.agg(F.count(F.lit(1)).alias("_copies"))
-    loss = _late(roles, mode, False).agg(
-        F.sum(F.col("_late_days") * F.col("_rate")).alias("_loss"))
     one = (pay.crossJoin(freq).crossJoin(late).crossJoin(moved)
-              .crossJoin(copies).crossJoin(loss))  # six one-row aggregates
+              .crossJoin(copies))  # five one-row aggregates
     return one.select(
         money_out("_rev").alias("total_revenue"),
         ratio("_rev", "_paid_rentals", 2).cast("double").alias("ticket_per_rental"),

@@ -16,6 +16,7 @@ from ..functions.exprs import (daily_rate, days_over, floor_zero, mean, money_ou
                                pct, ratio)
 from ..functions.ranking import small_rank_desc, with_share
 from ..plans.bases import copy_dim, returned_with_title
+from ..sources.curated import derived
 from ..sources.roles import Roles
 from .customers import customer_metrics_dec, segment_customers
 
@@ -92,44 +93,52 @@ def _band(d: Column) -> Column:
     return b.otherwise(BAND_LONG)
 
 
+def _late_base(roles: Roles, mode: str) -> DataFrame:
+    """Returned rentals per title and days over: title_id, rental_rate,
+    rental_duration, over (NULL without a duration), n, n_ids.  Bounded by
+    titles x days, written once; the figures over all rentals roll up from it."""
+    return derived(roles, f"late_base_{mode}", lambda: returned_with_title(roles).groupBy(
+        "title_id", "rental_rate", "rental_duration", _over(mode).alias("over")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("rental_id").alias("n_ids")))
+
+
 def late_bands(roles: Roles, mode: str = "calendar") -> DataFrame:
     """Returned rentals per late-day band with share of all returned."""
-    g = returned_with_title(roles).groupBy(_band(_over(mode)).alias("band")).agg(
-        F.count(F.lit(1)).alias("rentals"))
+    g = _late_base(roles, mode).groupBy(_band(F.col("over")).alias("band")).agg(
+        F.sum("n").alias("rentals"))
     g = with_share(g, "rentals", "pct", bounded=True)
     return g.select("band", "rentals", F.col("pct").cast("double").alias("pct"))
 
 
-def _late(roles: Roles, mode: str, with_category: bool) -> DataFrame:
-    d = _over(mode)
-    rt = returned_with_title(roles, with_category=with_category)
-    return rt.where(d > 0).select(
-        "*", floor_zero(d).alias("_late_days"),
-        daily_rate("rental_rate", "rental_duration").alias("_rate"))
+def _late(roles: Roles, mode: str) -> DataFrame:
+    return _late_base(roles, mode).where(F.col("over") > 0).withColumn(
+        "_rate", daily_rate("rental_rate", "rental_duration"))
 
 
 def _loss_aggs():
-    return [F.count("rental_id").alias("late_rentals"),
-            F.sum("_late_days").alias("late_days"),
-            F.sum(F.col("_late_days") * F.col("_rate")).alias("_loss")]
+    return [F.sum("n_ids").alias("late_rentals"),
+            F.sum(F.col("over") * F.col("n")).alias("late_days"),
+            F.sum(F.col("over") * F.col("n") * F.col("_rate")).alias("_loss")]
 
 
 def fee_loss_total(roles: Roles, mode: str = "calendar") -> DataFrame:
     """C6 (one row): late rentals, late days, mean daily rate, total estimated
     uncharged fee and fee per late rental."""
-    g = _late(roles, mode, False).agg(
-        *_loss_aggs(), F.sum("_rate").alias("_rate_sum"),
-        F.count("_rate").alias("_rate_n"))
+    g = _late(roles, mode).agg(
+        *_loss_aggs(), F.sum(F.col("_rate") * F.col("n")).alias("_rate_sum"),
+        F.sum(F.when(F.col("_rate").isNotNull(), F.col("n"))).alias("_rate_n"))
     return g.select(
-        "late_rentals", F.col("late_days").cast("long").alias("late_days"),
+        F.coalesce("late_rentals", F.lit(0)).alias("late_rentals"),
+        F.col("late_days").cast("long").alias("late_days"),
         mean("_rate_sum", "_rate_n", 6, 4).cast("double").alias("avg_daily_rate"),
         money_out("_loss").alias("total_loss"),
-        ratio("_loss", "late_rentals", 2).cast("double").alias("loss_per_late_rental"))
+        ratio("_loss", "late_rentals", 2, scale=6).cast("double").alias("loss_per_late_rental"))
 
 
 def fee_loss_by_category_dec(roles: Roles, mode: str = "calendar") -> DataFrame:
-    g = _late(roles, mode, True).groupBy("category").agg(*_loss_aggs())
-    # Categories are a fixed vocabulary: a single ordered window is bounded.
+    categories = roles.title_category.join(roles.category.select(
+        "category_id", F.col("name").alias("category")), "category_id")
+    g = _late(roles, mode).join(categories, "title_id").groupBy("category").agg(*_loss_aggs())
     return small_rank_desc(g, "_loss", "loss_rank")
 
 
@@ -143,7 +152,8 @@ def fee_loss_by_category(roles: Roles, mode: str = "calendar") -> DataFrame:
 
 def fee_loss_view(roles: Roles, mode: str = "calendar") -> DataFrame:
     """V8: C7 plus each category's share of the total loss."""
-    g = with_share(fee_loss_by_category_dec(roles, mode), "_loss", "share_pct", bounded=True)
+    g = with_share(fee_loss_by_category_dec(roles, mode), "_loss", "share_pct", bounded=True,
+                   scale=6)
     return g.select("category", "late_rentals",
                     F.col("late_days").cast("long").alias("late_days"),
                     money_out("_loss").alias("loss"),
@@ -154,11 +164,10 @@ def late_rate_gap(roles: Roles, mode: str = "calendar") -> DataFrame:
     """Each segment's late rate against the rate over all returned
     rentals, and the share of late rentals that are 1-2 days late."""
     seg = segment_lateness_dec(roles, mode)
-    d = _over(mode)
-    overall = returned_with_title(roles).agg(
-        F.sum(F.when(d > 0, 1).otherwise(0)).alias("_all_late"),
-        F.count(F.lit(1)).alias("_all_ret"),
-        F.sum(F.when(d.between(1, 2), 1).otherwise(0)).alias("_short_late"))
+    n, over = F.col("n"), F.col("over")
+    overall = _late_base(roles, mode).agg(
+        F.sum(F.when(over > 0, n).otherwise(0)).alias("_all_late"), F.sum("n").alias("_all_ret"),
+        F.sum(F.when(over.between(1, 2), n).otherwise(0)).alias("_short_late"))
     j = seg.crossJoin(F.broadcast(overall))  # one-row frame
     rate = pct("late", "returned")
     all_rate = pct("_all_late", "_all_ret")

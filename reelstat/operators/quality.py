@@ -138,8 +138,11 @@ def raw_null_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def raw_duplicate_keys(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """A5 over the key of every table."""
-    return duplicate_keys({n: (df, RAW_KEYS[n]) for n, df in tables.items() if n in RAW_KEYS})
+    """A5 over the key of every table; a table whose key is not known is an error."""
+    unknown = sorted(set(tables) - set(RAW_KEYS))
+    if unknown:
+        raise KeyError(f"no key is known for {unknown}")
+    return duplicate_keys({n: (df, RAW_KEYS[n]) for n, df in tables.items()})
 
 
 def rows_by_month(df: DataFrame, ts: str) -> DataFrame:
@@ -148,16 +151,16 @@ def rows_by_month(df: DataFrame, ts: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def distribution(df: DataFrame, col: str, bounded: bool = True) -> DataFrame:
-    """Rows per value of a low-cardinality ``col`` with share of all rows
-    (``bounded=False`` for a column with unbounded distinct values)."""
+def distribution(df: DataFrame, col: str, bounded: bool = False) -> DataFrame:
+    """Rows per value of ``col`` with share of all rows (``bounded=True``
+    only for a column whose number of distinct values is fixed)."""
     g = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     g = with_share(g, "n", "pct", bounded=bounded)
     return g.select(col, "n", F.col("pct").cast("double").alias("pct"))
 
 
 def active_split(roles: Roles) -> DataFrame:
-    return distribution(roles.customer, "active")
+    return distribution(roles.customer, "active", bounded=True)  # true, false, NULL
 
 
 def copies_store_category(roles: Roles) -> DataFrame:

@@ -80,13 +80,17 @@ def top_titles(roles: Roles, n: int = 10) -> DataFrame:
 def title_ranking(roles: Roles) -> DataFrame:
     """V2: every title with overall and in-category revenue rank (no limit)."""
     ts = _title_sales(roles)
-    ts = rank_desc(ts, "revenue", "rank_all")
-    ts = rank_desc(ts, "revenue", "rank_in_category", ["category"])
-    return _title_out(ts)
+    # both ranks start from the stored table, not one from the other's plan
+    within = rank_desc(ts.select(F.col("title_id").alias("_title"), F.col("category").alias("_cat"),
+                                 "revenue"), "revenue", "rank_in_category", ["_cat"]).drop("revenue")
+    both = rank_desc(ts, "revenue", "rank_all").join(
+        within, F.col("title_id").eqNullSafe(F.col("_title"))
+        & F.col("category").eqNullSafe(F.col("_cat")))
+    return _title_out(both)
 
 
 def _never_rented_copies(roles: Roles) -> DataFrame:
-    rented = roles.rental.select("copy_id")
+    rented = roles.rental.select("copy_id").distinct()
     return roles.copy.join(rented, "copy_id", "left_anti")
 
 
@@ -123,9 +127,8 @@ def top_titles_per_category(roles: Roles, k: int = 3) -> DataFrame:
     filter; Spark plans that as a per-task group limit before the shuffle, so
     only each task's local top-k per category moves.
     """
-    per = sales(roles).groupBy("category", "title").agg(
-        F.count(F.lit(1)).alias("rentals"),
-        F.sum("paid").alias("revenue"))
+    per = _title_sales(roles).groupBy("category", "title").agg(
+        F.sum("rentals").alias("rentals"), F.sum("revenue").alias("revenue"))
     ranked = small_rank_desc(per, "revenue", "category_rank", ["category"])
     return ranked.where(F.col("category_rank") <= k).select(
         "category", "title", "rentals",
@@ -157,7 +160,7 @@ def revenue_by_price_tier(roles: Roles) -> DataFrame:
 
 def revenue_per_copy(roles: Roles) -> DataFrame:
     """Category revenue divided by the copies the category has in stock."""
-    rev = sales(roles).groupBy("category").agg(F.sum("paid").alias("revenue"))
+    rev = _title_sales(roles).groupBy("category").agg(F.sum("revenue").alias("revenue"))
     stock = copy_dim(roles).groupBy("category").agg(F.count(F.lit(1)).alias("copies"))
     j = stock.join(rev, "category", "left")
     return j.select(

@@ -87,7 +87,7 @@ def stock_utilisation(roles: Roles, short_labels: bool = False) -> DataFrame:
 
 
 def _idle_by_store_title(roles: Roles) -> DataFrame:
-    idle = roles.copy.join(roles.rental.select("copy_id"), "copy_id", "left_anti")
+    idle = roles.copy.join(roles.rental.select("copy_id").distinct(), "copy_id", "left_anti")
     return idle.join(title_dim(roles), "title_id").groupBy(
         "store_id", "title", "category", "rental_rate", "replacement_cost").agg(
         F.count(F.lit(1)).alias("idle_copies"))
@@ -171,9 +171,9 @@ def _staff_sales(roles: Roles) -> DataFrame:
 def staff_by_month(roles: Roles) -> DataFrame:
     """Revenue per payment month and staff member, rank inside the month
     (distributed rank partitioned by month)."""
-    pr = paid_rentals(roles, by=[month_start("payment_date").alias("month")])
-    g = pr.groupBy("month", "staff_id").agg(
-        F.count(F.lit(1)).alias("rentals"), F.sum("paid").alias("revenue"))
+    g = derived(roles, "staff_month_sales", lambda: paid_rentals(
+        roles, by=[month_start("payment_date").alias("month")]).groupBy("month", "staff_id").agg(
+        F.count(F.lit(1)).alias("rentals"), F.sum("paid").alias("revenue")))
     staff = roles.staff.select(
         "staff_id", F.concat("first_name", F.lit(" "), "last_name").alias("staff_name"),
         "store_id")

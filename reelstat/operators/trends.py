@@ -24,12 +24,17 @@ PEAK, TROUGH, NORMAL = "Peak", "Trough", "Normal"
 
 def monthly_revenue_dec(roles: Roles) -> DataFrame:
     """D1 aggregate: per payment month (payments naming a rental)."""
-    p = roles.payment.where(F.col("rental_id").isNotNull())
-    return p.groupBy(month_start("payment_date").alias("month")).agg(
-        F.count(F.lit(1)).alias("payments"),
-        F.countDistinct("rental_id").alias("rentals"),
-        F.sum("amount").alias("revenue"),
-        F.countDistinct("customer_id").alias("customers"))
+    p = roles.named_payments.withColumn("month", month_start("payment_date"))
+    # two counts of distinct values in two levels each: no row is multiplied
+    by_rental = p.groupBy("rental_id", "month").agg(
+        F.count(F.lit(1)).alias("payments"), F.sum("amount").alias("revenue"))
+    by_month = by_rental.groupBy("month").agg(
+        F.sum("payments").alias("payments"), F.count(F.lit(1)).alias("rentals"),
+        F.sum("revenue").alias("revenue"))
+    by_customer = p.select("month", "customer_id").distinct()
+    customers = by_customer.groupBy(F.col("month").alias("_month")).agg(
+        F.count("customer_id").alias("customers"))
+    return by_month.join(customers, F.col("month").eqNullSafe(F.col("_month"))).drop("_month")
 
 
 def monthly_revenue(roles: Roles, month_as_text: bool = True) -> DataFrame:
@@ -124,7 +129,7 @@ def category_by_month(roles: Roles) -> DataFrame:
 
 def ticket_trend(roles: Roles) -> DataFrame:
     """Monthly mean ticket (to 4 decimals) with its change and % change."""
-    p = roles.payment.where(F.col("rental_id").isNotNull())
+    p = roles.named_payments
     g = p.groupBy(month_start("payment_date").alias("month")).agg(
         mean(F.sum("amount"), F.count(F.lit(1)), 2, 4).alias("avg_ticket"))
     w = Window.orderBy("month")
@@ -133,4 +138,4 @@ def ticket_trend(roles: Roles) -> DataFrame:
     return g.select(F.date_format("month", "yyyy-MM-dd").alias("month"),
                     F.col("avg_ticket").cast("double").alias("avg_ticket"),
                     F.col("_delta").cast("double").alias("delta"),
-                    pct("_delta", "_prev").cast("double").alias("delta_pct"))
+                    pct("_delta", "_prev", scale=4).cast("double").alias("delta_pct"))

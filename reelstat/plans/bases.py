@@ -9,8 +9,7 @@ Join order is chosen for the fact tables, which are the only large inputs:
   first (dimension-sized work, keyed by title), so the fact side is shuffled
   once, by ``copy_id``, to pick up every dimension attribute at once.
 
-``category`` is a fixed vocabulary (tens of rows) and is broadcast; the other
-joins are left to AQE, which broadcasts a side only after measuring it.
+All joins are left to Spark, which broadcasts a side only after measuring it.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from ..sources.roles import Roles
 
 def payments_per_rental(roles: Roles, by: Sequence[Column] = ()) -> DataFrame:
     """(rental_id, *by, paid, n_pay) over payments that name a rental."""
-    p = roles.payment.where(F.col("rental_id").isNotNull())
+    p = roles.named_payments
     return p.groupBy("rental_id", *by).agg(
         F.sum("amount").alias("paid"),
         F.count(F.lit(1)).alias("n_pay"))
@@ -38,8 +37,7 @@ def paid_rentals(roles: Roles, by: Sequence[Column] = ()) -> DataFrame:
 
 def title_dim(roles: Roles) -> DataFrame:
     """Title attributes with the category name (one row per title-category)."""
-    cat = F.broadcast(roles.category.select(
-        "category_id", F.col("name").alias("category")))
+    cat = roles.category.select("category_id", F.col("name").alias("category"))
     return (roles.title
             .join(roles.title_category, "title_id")
             .join(cat, "category_id"))

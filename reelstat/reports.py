@@ -9,14 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import customers, kpis, lateness, quality, revenue, stores, trends
 from .plans import views
 from .sources.curated import curated_roles
-from .sources.fixture import rental_lines, roles_from_test_tables
+from .sources.fixture import role_from_test_tables
 from .sources.roles import Roles
 from .sources.tables import TEST_TABLES, read_table, read_tables
 
@@ -115,17 +114,9 @@ TABLE_REPORTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def _derive_for_write(spark: SparkSession, base: str):
-    # rental and payment are two projections of the same lineitem pipeline:
-    # persist it while both are written, then release it.
-    lines = rental_lines(spark, base).persist(StorageLevel.MEMORY_AND_DISK)
-    return roles_from_test_tables(spark, base, lines=lines), lines.unpersist
-
-
 def roles_for(spark: SparkSession, base: str) -> Roles:
-    """Roles of the test tables under ``base`` (curated once per session)."""
-    return curated_roles(spark, base, roles_from_test_tables, TEST_TABLES,
-                         derive_for_write=_derive_for_write)
+    """Roles of the test tables under ``base`` (each curated on first use)."""
+    return curated_roles(spark, base, TEST_TABLES, role_from_test_tables)
 
 
 def run(spark: SparkSession, name: str, base: str) -> DataFrame:

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session of this library wants.  They are defaults: an
 # explicit value already present in the session wins.
@@ -35,16 +36,24 @@ def build_session(master: str | None = None, app: str = "reelstat",
     ``master`` is only for local runs and tests; on a cluster leave it None so
     the submitter's master is used.
     """
+    asked = dict(extra or {})
+    if shuffle_partitions:
+        asked["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if driver_memory:
+        asked["spark.driver.memory"] = driver_memory
+    running = SparkSession.getActiveSession()
+    if running is not None:
+        # a session that runs already keeps what it was given
+        given = {k for k, _ in running.sparkContext.getConf().getAll()}
+        for k, v in {**DEFAULT_CONF, **asked}.items():
+            if k in asked or (k not in given and running.conf.get(k, None) is None):
+                if running.conf.isModifiable(k):
+                    running.conf.set(k, v)
+        return running
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    conf = dict(DEFAULT_CONF)
-    if shuffle_partitions:
-        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    if driver_memory:
-        conf["spark.driver.memory"] = driver_memory
-    conf.update(extra or {})
-    for k, v in conf.items():
+    for k, v in {**DEFAULT_CONF, **asked}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
@@ -85,6 +94,15 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([checkpoint_dir(spark), own] + [p.strip("/") for p in parts])
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: what a plan uses more
+    than once, or what must not be computed anew when a task is repeated."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "work", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_test_session(cores: int | None = None) -> SparkSession:
     """Session for tests and local benchmarks (local[N], 8 shuffle partitions)."""
     n = cores or int(os.environ.get("BENCH_CPUS", "8"))

@@ -1,85 +1,103 @@
-"""Curated role layer: derive the roles once, write them as tables, reuse.
+"""Curated role layer: derive each role once, write it as a table, reuse it.
 
 Reports read the roles many times.  Deriving them from raw tables on every
-report repeats the lineitem window and the fact joins, so the adapter output
-is written once per input dataset into the shared folder named by
+report repeats the lineitem window and the fact joins, so a role is written on
+its first use into this application's part of the shared folder named by
 ``spark.checkpoint.dir`` (never a machine-local folder on a cluster) and read
-back from there.  Writing also cuts the lineage: a lost executor recomputes
-from the curated files, not from the raw tables.
+back from there.  A role that no report asks for is never derived.  Writing
+also cuts the lineage: a lost executor recomputes from the curated files.
 
-``rental`` and ``payment`` are bucketed and sorted by ``rental_id`` with the
-same bucket count, so their join and the per-rental payment aggregate need no
-shuffle.  The other roles are plain Parquet.
+``rental`` and the payments that name a rental are bucketed and sorted by
+``rental_id`` with the same bucket count, so their join and the per-rental
+payment aggregate need no shuffle.  Payments without a rental are a table of
+their own: as one bucket they would all be one task's work.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import scratch_path
 from .roles import Roles
 from .schemas import ROLE_NAMES
 
-BUCKETED = {"rental": "rental_id", "payment": "rental_id"}
+BUCKET_KEY = "rental_id"
 MATERIALIZE_CONF = "reelstat.materializeRoles"
 BUCKETS_CONF = "reelstat.roleBuckets"
 
-_cache: dict[tuple, Roles] = {}
+_cache: dict[tuple, CuratedRoles] = {}
 
 
-def _fingerprint(base: str, names) -> str:
-    """Identity of the input: path plus size and mtime of every file."""
+def _fingerprint(spark: SparkSession, base: str, names) -> str:
+    """Identity of the input: path plus size and time of every file, asked of
+    the file system that the path names."""
     h = hashlib.sha1(base.encode())
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for n in names:
-        p = f"{base.rstrip('/')}/{n}.parquet"
-        for root, _dirs, files in os.walk(p) if os.path.isdir(p) else [("", [], [p])]:
-            for f in sorted(files):
-                fp = os.path.join(root, f) if root else f
-                try:
-                    st = os.stat(fp)
-                    h.update(f"{fp}:{st.st_size}:{st.st_mtime_ns}".encode())
-                except OSError:
-                    h.update(fp.encode())
+        path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{n}.parquet")
+        files, found = path.getFileSystem(conf).listFiles(path, True), []
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+        h.update("\n".join(sorted(found)).encode())
     return h.hexdigest()[:16]
 
 
-def _table_name(tag: str, role: str) -> str:
-    return f"reelstat_{role}_{tag}"
-
-
-def materialize(spark: SparkSession, roles: Roles, tag: str,
-                buckets: int | None = None) -> Roles:
-    """Write every role under ``<checkpoint dir>/roles/<tag>`` and return the
-    roles read back.  Bucketed roles are registered as catalogue tables."""
-    n = buckets or int(spark.conf.get(BUCKETS_CONF, None)
-                       or spark.conf.get("spark.sql.shuffle.partitions"))
-    root = f"{checkpoint_dir(spark)}/roles/{tag}"
-    out = {}
-    for role in ROLE_NAMES:
-        df = getattr(roles, role)
-        path = f"{root}/{role}"
-        if role in BUCKETED:
-            name = _table_name(tag, role)
-            # Hash-partition by the bucket key first: every write task then
-            # holds exactly one bucket and writes one file.
-            (df.repartition(n, BUCKETED[role])
-               .write.mode("overwrite").option("path", path)
-               .bucketBy(n, BUCKETED[role]).sortBy(BUCKETED[role])
-               .saveAsTable(name))
-            out[role] = spark.table(name)
-        else:
-            df.write.mode("overwrite").parquet(path)
-            out[role] = spark.read.parquet(path)
-    return Roles(**out, curated_at=root)
-
-
-_derived: dict[tuple, DataFrame] = {}
-
-
-def derived(roles: Roles, name: str, build) -> DataFrame:
+class CuratedRoles:
+    """Roles that are written when first read (attributes as those of Roles)."""
+
+    def __init__(self, spark: SparkSession, derive: Callable[[str], DataFrame], tag: str,
+                 buckets: int | None = None):
+        self.spark, self._derive, self._tag = spark, derive, tag
+        self.curated_at = scratch_path(spark, "roles", tag)
+        self._buckets = buckets or int(spark.conf.get(BUCKETS_CONF, None)
+                                       or spark.conf.get("spark.sql.shuffle.partitions"))
+        self._tables: dict[str, DataFrame] = {}
+
+    def _plain(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.curated_at}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _bucketed(self, name: str, df: DataFrame) -> DataFrame:
+        app = "".join(c if c.isalnum() else "_" for c in self.spark.sparkContext.applicationId)
+        table = f"reelstat_{name}_{app}_{self._tag}"
+        # Hash-partition by the bucket key first: every write task then
+        # holds exactly one bucket and writes one file.
+        (df.repartition(self._buckets, BUCKET_KEY)
+           .write.mode("overwrite").option("path", f"{self.curated_at}/{name}")
+           .bucketBy(self._buckets, BUCKET_KEY).sortBy(BUCKET_KEY).saveAsTable(table))
+        return self.spark.table(table)
+
+    def table(self, name: str, build: Callable[[], DataFrame], bucketed: bool = False) -> DataFrame:
+        if name not in self._tables:
+            write = self._bucketed if bucketed else self._plain
+            self._tables[name] = write(name, build())
+        return self._tables[name]
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in ROLE_NAMES:
+            raise AttributeError(name)
+        if name == "payment":
+            return self.named_payments.unionByName(self.table(
+                "payment_unnamed",
+                lambda: self._derive("payment").where(F.col(BUCKET_KEY).isNull())))
+        return self.table(name, lambda: self._derive(name), bucketed=name == "rental")
+
+    @property
+    def named_payments(self) -> DataFrame:
+        return self.table("payment_named", lambda: self._derive("payment").where(
+            F.col(BUCKET_KEY).isNotNull()), bucketed=True)
+
+    def as_dict(self) -> dict[str, DataFrame]:
+        return {r: getattr(self, r) for r in ROLE_NAMES}
+
+
+def derived(roles: Roles | CuratedRoles, name: str, build) -> DataFrame:
     """A table derived from curated roles, written once next to them.
 
     Reports that reuse one intermediate several times in a plan (the
@@ -87,38 +105,23 @@ def derived(roles: Roles, name: str, build) -> DataFrame:
     written table instead of recomputing it per branch.  Lazy roles (hand
     fixtures, ``materializeRoles=false``) just get ``build()``.
     """
-    if roles.curated_at is None:
-        return build()
-    spark = roles.rental.sparkSession
-    key = (id(spark._jsparkSession), roles.curated_at, name)
-    if key not in _derived:
-        path = f"{roles.curated_at}/derived/{name}"
-        build().write.mode("overwrite").parquet(path)
-        _derived[key] = spark.read.parquet(path)
-    return _derived[key]
-
-
-def curated_roles(spark: SparkSession, base: str, derive, names,
-                  derive_for_write=None) -> Roles:
-    """Roles for ``base``: derived by ``derive(spark, base)`` and, unless
-    ``reelstat.materializeRoles`` is false, materialised once per session and
-    input fingerprint.
-
-    ``derive_for_write(spark, base)`` may return ``(roles, release)``: roles
-    built on persisted shared inputs, and a callable that releases them once
-    the role tables are written.
-    """
+    if isinstance(roles, CuratedRoles):
+        return roles.table(f"derived/{name}", build)
+    return build()
+
+
+def curated_roles(spark: SparkSession, base: str, names, derive) -> Roles | CuratedRoles:
+    """Roles for ``base``; ``derive(spark, base, role, keep)`` gives one of them,
+    with ``keep(name, build)`` for what several roles share.  Unless
+    ``reelstat.materializeRoles`` is false each is written once per application
+    and input fingerprint."""
     if spark.conf.get(MATERIALIZE_CONF, "true").lower() != "true":
-        return derive(spark, base)
-    tag = _fingerprint(base, names)
-    key = (id(spark._jsparkSession), tag)
+        return Roles(**{r: derive(spark, base, r, lambda _, build: build())
+                        for r in ROLE_NAMES})
+    tag = _fingerprint(spark, base, names)
+    key = (spark.sparkContext.applicationId, tag)
     if key not in _cache:
-        if derive_for_write is not None:
-            roles, release = derive_for_write(spark, base)
-        else:
-            roles, release = derive(spark, base), (lambda: None)
-        try:
-            _cache[key] = materialize(spark, roles, tag)
-        finally:
-            release()
+        roles = CuratedRoles(
+            spark, lambda r: derive(spark, base, r, roles.table), tag)
+        _cache[key] = roles
     return _cache[key]

@@ -7,7 +7,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schemas import ROLE_SCHEMAS
+from .schemas import OPTIONAL, ROLE_SCHEMAS
 
 
 @dataclass(frozen=True)
@@ -24,20 +24,30 @@ class Roles:
     # Folder of the curated copy these roles were read from (None: lazy plans).
     curated_at: str | None = None
 
+    @property
+    def spark(self) -> SparkSession:
+        return self.store.sparkSession
+
+    @property
+    def named_payments(self) -> DataFrame:
+        """Payments that name a rental."""
+        return self.payment.where(F.col("rental_id").isNotNull())
+
     def as_dict(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "curated_at"}
 
 
 def conform(df: DataFrame, role: str) -> DataFrame:
-    """Project ``df`` onto the role schema (column order and types)."""
+    """Project ``df`` onto the role schema (column order and types).  A missing
+    column is an error unless the role declares it optional."""
     schema = ROLE_SCHEMAS[role]
-    cols = []
-    for f in schema.fields:
-        if f.name in df.columns:
-            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
-        else:
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+    missing = [f.name for f in schema.fields
+               if f.name not in df.columns and f.name not in OPTIONAL.get(role, ())]
+    if missing:
+        raise ValueError(f"role {role} lacks the columns {missing}")
+    return df.select(*[
+        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in schema.fields])
 
 
 def roles_from_parquet(spark: SparkSession, base: str) -> Roles:
