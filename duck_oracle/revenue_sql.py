@@ -55,15 +55,11 @@ FROM ranked ORDER BY rev_c DESC, title_id, category LIMIT 10
 TITLE_RANKING = with_roles(f"SELECT {TITLE_COLS} FROM ranked", TITLE_BASE)
 
 TITLES_WITH_IDLE_COPIES = with_roles(f"""
-SELECT f.title_id, f.title, cat.name AS category, CAST(f.rental_rate AS DOUBLE) AS rental_rate,
-       f.rating, {big('count(DISTINCT i.copy_id)')} AS idle_copies
-FROM titles f
-JOIN title_cats fc ON f.title_id = fc.title_id
-JOIN categories cat ON fc.category_id = cat.category_id
-JOIN copies i ON f.title_id = i.title_id
-LEFT JOIN rentals r ON i.copy_id = r.copy_id
-WHERE r.rental_id IS NULL
-GROUP BY f.title_id, f.title, cat.name, f.rental_rate, f.rating
+SELECT title_id, title, name AS category, CAST(rental_rate AS DOUBLE) AS rental_rate, rating,
+       idle_copies
+FROM (SELECT title_id, {big('count(*)')} AS idle_copies FROM copies c
+      WHERE NOT EXISTS (FROM rentals r WHERE r.copy_id = c.copy_id) GROUP BY title_id) idle
+JOIN titles USING (title_id) JOIN title_cats USING (title_id) JOIN categories USING (category_id)
 """)
 
 UNRENTED_TITLES = with_roles(f"""
