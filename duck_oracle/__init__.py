@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import customers_sql, quality_sql, raw_sql, revenue_sql, stores_sql, trends_sql
+from . import (customers_sql, quality_sql, raw_sql, revenue_sql, roadmap_sql, stores_sql,
+               trends_sql)
 
-_MODULES = [quality_sql, revenue_sql, customers_sql, trends_sql, stores_sql, raw_sql]
+_MODULES = [quality_sql, revenue_sql, customers_sql, trends_sql, stores_sql, raw_sql,
+            roadmap_sql]
 
 
 # V9: each published view read back and counted.

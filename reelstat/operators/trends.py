@@ -37,12 +37,18 @@ def monthly_revenue_dec(roles: Roles) -> DataFrame:
     return by_month.join(customers, F.col("month").eqNullSafe(F.col("_month"))).drop("_month")
 
 
-def monthly_revenue(roles: Roles, month_as_text: bool = True) -> DataFrame:
+def monthly_revenue(roles: Roles, month_as_text: bool = True,
+                    calendar: bool = False) -> DataFrame:
     """D1 (text month ``yyyy-MM-01``) / V4 (month start as a timestamp): revenue series with
-    month-on-month change (row-based LAG) and running total."""
+    month-on-month change and running total.
+
+    The change is against the row before, as in the source; ``calendar=True``
+    compares with the calendar month before, NULL if that has no payments."""
     g = monthly_revenue_dec(roles)
     w = Window.orderBy("month")  # calendar-bounded: one small partition
     prev = F.lag("revenue").over(w)
+    if calendar:
+        prev = F.when(F.lag("month").over(w) == F.add_months("month", -1), prev)
     delta = F.col("revenue") - prev
     out = g.select(
         "*", delta.alias("_delta"), prev.alias("_prev"),

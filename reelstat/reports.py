@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import customers, kpis, lateness, quality, revenue, stores, trends
+from .operators import customers, kpis, lateness, quality, revenue, roadmap, stores, trends
 from .plans import views
 from .sources.curated import curated_roles
 from .sources.fixture import role_from_test_tables
@@ -73,6 +73,12 @@ ROLE_REPORTS: dict[str, RoleReport] = {
     "q_store_scorecard": stores.store_scorecard,
     "q_staff_performance": stores.staff_performance,
     "q_staff_by_month": stores.staff_by_month,
+    # P -- cohorts, price, length
+    "q_cohort_retention": roadmap.cohort_retention,
+    "q_price_elasticity": roadmap.price_elasticity,
+    "q_length_lateness": roadmap.length_lateness,
+    "q_monthly_revenue_calendar": lambda r: trends.monthly_revenue(r, calendar=True).select(
+        "month", "revenue", "delta", "growth_pct"),
     # V -- published views
     "q_v_category_revenue": views.VIEWS["v_category_revenue"],
     "q_v_title_ranking": views.VIEWS["v_title_ranking"],
@@ -119,10 +125,60 @@ def roles_for(spark: SparkSession, base: str) -> Roles:
     return curated_roles(spark, base, TEST_TABLES, role_from_test_tables)
 
 
-def run(spark: SparkSession, name: str, base: str) -> DataFrame:
+# Documented row order of the reports whose size is bounded (months, stores,
+# categories, top lists): name -> columns, "-" for descending.
+ORDER: dict[str, tuple[str, ...]] = {
+    "q_row_counts": ("-rows",),
+    "q_rentals_by_month": ("month",),
+    "q_payments_by_year": ("year",),
+    "q_revenue_by_category": ("-revenue",),
+    "q_top_titles": ("rank_all", "title_id"),
+    "q_top3_titles_per_category": ("category", "category_rank"),
+    "q_revenue_by_price_tier": ("rental_rate",),
+    "q_top_customers": ("ltv_rank", "customer_id"),
+    "q_segment_summary": ("-revenue",),
+    "q_segment_lateness": ("-late_rate_pct",),
+    "q_late_bands": ("band",),
+    "q_fee_loss_by_category": ("-loss",),
+    "q_monthly_revenue": ("month",),
+    "q_monthly_revenue_calendar": ("month",),
+    "q_weekday_profile": ("weekday_no",),
+    "q_category_by_month": ("month", "rank_in_month"),
+    "q_ticket_trend": ("month",),
+    "q_store_performance": ("-revenue",),
+    "q_store_category": ("store_id", "rank_in_store"),
+    "q_stock_utilisation": ("store_id", "category"),
+    "q_store_scorecard": ("store_id",),
+    "q_cohort_retention": ("cohort", "months_since"),
+    "q_price_elasticity": ("rental_rate",),
+    "q_v_category_revenue": ("-revenue",),
+    "q_v_monthly_trend": ("month",),
+    "q_v_store_scorecard": ("store_id",),
+    "q_v_fee_loss": ("loss_rank",),
+}
+# Row-level reports are sorted only when asked: that is a full shuffle.
+LONG_ORDER: dict[str, tuple[str, ...]] = {
+    "q_customer_metrics": ("-ltv", "customer_id"),
+    "q_v_customer_segments": ("ltv_rank", "customer_id"),
+    "q_v_title_ranking": ("rank_all", "title_id"),
+    "q_idle_stock": ("-immobilised", "store_id", "title"),
+    "q_staff_performance": ("revenue_rank", "staff_id"),
+    "q_staff_by_month": ("month", "rank_in_month", "staff_id"),
+}
+
+
+def run(spark: SparkSession, name: str, base: str, ordered: bool = False) -> DataFrame:
+    """The report ``name`` over the tables under ``base``; ``ordered`` also
+    sorts the row-level reports."""
     if name in TABLE_REPORTS:
-        return TABLE_REPORTS[name](spark, base)
-    return ROLE_REPORTS[name](roles_for(spark, base))
+        out = TABLE_REPORTS[name](spark, base)
+    else:
+        out = ROLE_REPORTS[name](roles_for(spark, base))
+    order = ORDER.get(name) or (LONG_ORDER.get(name) if ordered else None)
+    if not order:
+        return out
+    return out.orderBy(*[F.col(c[1:]).desc_nulls_last() if c[0] == "-" else F.col(c)
+                         for c in order])
 
 
 def names() -> list[str]:
