@@ -46,17 +46,23 @@ def main() -> None:
             .mode("overwrite").save()
 
     times: dict[str, float] = {}
-    # The curated role layer is built once per data set; its cost is part of
-    # the total (key ``_roles_materialise``).
+    # The curated role layer and the derived tables are built once per data
+    # set; their cost is part of the total (``_roles_materialise`` and
+    # ``_derived/...``) and not of the query that needs them first.
     t0 = time.perf_counter()
-    reports.roles_for(spark, sf_dir)
+    roles = reports.roles_for(spark, sf_dir)
+    roles.as_dict()
     times["_roles_materialise"] = round(time.perf_counter() - t0, 3)
     for name in names:
         best = None
         for _ in range(max(1, args.repeat)):
+            known = set(roles.seconds)
             t0 = time.perf_counter()
             reports.run(spark, name, sf_dir).write.format("noop").mode("overwrite").save()
             dt = time.perf_counter() - t0
+            for table in set(roles.seconds) - known:
+                times[f"_{table}"] = round(roles.seconds[table], 3)
+                dt -= roles.seconds[table]
             best = dt if best is None else min(best, dt)
         times[name] = round(best, 3)
 

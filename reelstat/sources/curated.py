@@ -16,6 +16,7 @@ their own: as one bucket they would all be one task's work.
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +58,7 @@ class CuratedRoles:
         self._buckets = buckets or int(spark.conf.get(BUCKETS_CONF, None)
                                        or spark.conf.get("spark.sql.shuffle.partitions"))
         self._tables: dict[str, DataFrame] = {}
+        self.seconds: dict[str, float] = {}  # that each table took to write
 
     def _plain(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.curated_at}/{name}"
@@ -76,7 +78,9 @@ class CuratedRoles:
     def table(self, name: str, build: Callable[[], DataFrame], bucketed: bool = False) -> DataFrame:
         if name not in self._tables:
             write = self._bucketed if bucketed else self._plain
+            began = time.perf_counter()
             self._tables[name] = write(name, build())
+            self.seconds[name] = time.perf_counter() - began
         return self._tables[name]
 
     def __getattr__(self, name: str) -> DataFrame:
