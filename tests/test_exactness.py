@@ -15,6 +15,7 @@ from reelstat.plans import views
 from reelstat.session import build_session, checkpoint_dir
 from reelstat.sources.curated import CuratedRoles
 from reelstat.sources.roles import conform
+from reelstat.sources.tables import read_table
 from tests.fixtures import _df
 
 SMALL = "/root/testdata/sf0.001"
@@ -97,6 +98,16 @@ def test_missing_input_is_an_error(spark, roles):
         quality.raw_duplicate_keys({"strangers": roles.store})
 
 
+def test_drifted_types_are_an_error(spark, tmp_path):
+    good = read_table(spark, SMALL, "region")
+    good.withColumn("more", F.lit(1)).write.parquet(f"{tmp_path}/a/region.parquet")
+    assert "more" in read_table(spark, f"{tmp_path}/a", "region").columns
+    good.withColumn("r_regionkey", F.col("r_regionkey").cast("string")) \
+        .write.parquet(f"{tmp_path}/b/region.parquet")
+    with pytest.raises(TypeError, match="r_regionkey"):
+        read_table(spark, f"{tmp_path}/b", "region")
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Context:
         applicationId, master = "app-none", "yarn"
