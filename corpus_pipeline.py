@@ -21,13 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from reelstat.llm import exact_dedup, simhash, toxicity  # noqa: E402
-from reelstat.llm.common import documents, written  # noqa: E402
+from reelstat.llm.common import documents, table, written  # noqa: E402
 from reelstat.llm.queries import pack  # noqa: E402
-from reelstat.sources.tables import read_table  # noqa: E402
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.reject(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from ..sources.tables import read_table
+from ..sources.tables import table_path
 
 #: The ASCII white space that separates words: tab to carriage return, and space.
 ASCII_SPACE = "\\x20\\x09-\\x0D"
@@ -38,7 +38,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents")
+    return table(spark, sf_dir, "documents")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as it is; operators take and cast the columns that they need."""
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, exact_dedup, license_scan, line_dedup, ngram_lm, packing, simhash, token_files, toxicity, weighted_sampling
-from ..sources.tables import read_table
-from .common import documents
+from . import (byte_bpe, exact_dedup, license_scan, line_dedup, ngram_lm, packing, simhash,
+               token_files, toxicity, weighted_sampling)
+from .common import documents, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -59,7 +59,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score_held_out(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+    return toxicity.score_held_out(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
