@@ -48,6 +48,7 @@ START, END = b" start", b" end"  # no word contains a space
 HALF = np.uint64(32)
 LOW = np.uint64((1 << 32) - 1)
 SLICE_BYTES = 16_000_000
+LEAST = 0.01
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,11 +129,12 @@ def counts_of_counts(counts: np.ndarray) -> np.ndarray:
 
 def discounts(n: np.ndarray) -> np.ndarray:
     """D for counts 0, 1, 2 and 3 or more, from the numbers of counts 1 to 4.
-    Where a number is missing (tiny data) it counts as one; D stays in [0, count]."""
+    Where a number is missing (tiny data) it counts as one.  D stays between
+    ``LEAST`` and the count, so that every context leaves some mass to the rest."""
     n1, n2, n3, n4 = np.maximum(n, 1).tolist()
     y = n1 / (n1 + 2 * n2)
     d = [0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
-    return np.clip(d, 0, [0, 1, 2, 3])
+    return np.clip(d, [0, LEAST, LEAST, LEAST], [0, 1, 2, 3])
 
 
 @dataclass

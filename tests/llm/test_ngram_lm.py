@@ -35,7 +35,7 @@ class Slow:
         n1, n2, n3, n4 = (max(1, n[i]) for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2)
         raw = [0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
-        return [min(max(x, 0), i) for i, x in enumerate(raw)]
+        return [min(max(x, 0.01 if i else 0), i) for i, x in enumerate(raw)]
 
     def p(self, h, w):
         k = self.follows[w]
