@@ -4,11 +4,11 @@ Running a tokenizer over every text repeats the same merges for the same words
 over and over.  No pre-token of these tokenizers contains a space that stands
 between two visible characters (it only begins with it), so a text may be cut
 at those spaces, each distinct word encoded once by the library's own
-pre-tokenizer and BPE model, and the text's ids put together from a table of
-words already met.  The table holds two generations of at most ``max_words`` words:
-when the young one is full it becomes the old one, and words met again move up.
-Arrow splits the texts of a batch and numbers their distinct words, so the table
-is asked once a batch for each of them, and numpy lays out the ids.
+pre-tokenizer and BPE model, and the text's ids put together from those.  Arrow
+splits the texts of a batch and numbers their distinct words, so each is looked
+at once a batch.  Pre-tokens already met are kept in two generations of at most
+``max_pieces``: when the young one is full it becomes the old one, and those met
+again move up.
 """
 
 from __future__ import annotations
@@ -33,9 +33,9 @@ _LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 _PLAIN = re.compile(rf"[{_LETTERS}{_SIGNS}](?:[{_LETTERS}{_SIGNS}]|\n(?!\s))*")
 _PARTS = re.compile(rf"[{_LETTERS}]+|[{_SIGNS}]+|\n")
 
-MAX_WORDS = 200_000
-MAX_WORD_CHARS = 64
-SLICE_BYTES = 8_000_000
+MAX_PIECES = 150_000
+MAX_PIECE_CHARS = 64
+SLICE_BYTES = 6_000_000
 ID_TYPE = np.dtype("<u4")
 
 
@@ -58,7 +58,7 @@ class _Recent(dict):
         ids = self.old.get(key)
         if ids is None:
             ids = self.make(key)
-        if len(key) <= MAX_WORD_CHARS:
+        if len(key) <= MAX_PIECE_CHARS:
             if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
@@ -71,7 +71,7 @@ class WordEncoder:
     pre-tokenizer removes white space and folds case, so words stand alone;
     otherwise every word but a text's first begins with its space."""
 
-    def __init__(self, tokenizer, drops_space: bool = False, max_words: int = MAX_WORDS):
+    def __init__(self, tokenizer, drops_space: bool = False, max_pieces: int = MAX_PIECES):
         tokenizer.encode_special_tokens = True  # in a text they are ordinary text
         self.drops_space = drops_space
         self.model, self.splitter = tokenizer.model, tokenizer.pre_tokenizer
@@ -79,28 +79,27 @@ class WordEncoder:
         self.bytes_to_chars = str.maketrans(
             {chr(b): c for b, c in enumerate(byte_characters())})
         self.before = "" if drops_space else byte_characters()[ord(" ")]
-        self.pieces = _Recent(self._encode_piece, max_words)
-        self.words = _Recent(self._encode_word, max_words)
+        self.pieces = _Recent(self._encode_piece, max_pieces)
 
     def _encode_piece(self, piece: str) -> bytes:
         """Ids of one pre-token, written in byte characters."""
         ids = [t.id for t in self.model.tokenize(piece)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _encode_word(self, word: str, before: str | None = None) -> bytes:
-        before = self.before if before is None else before
+    def _encode_word(self, word: str, before: str) -> bytes:
+        """Ids of a word and of the space ``before`` it (in byte characters)."""
         if word.isascii() and word.isalpha():
             return self.pieces[word.lower() if self.drops_space else before + word]
         if _PLAIN.fullmatch(word):
-            if self.drops_space:
-                word = word.lower()
-            parts = _PARTS.findall(word)
+            parts = _PARTS.findall(word.lower() if self.drops_space else word)
             if not word.isascii() or "\n" in word:
                 parts = [p.encode().decode("latin-1").translate(self.bytes_to_chars)
                          for p in parts]
             parts[0] = before + parts[0]
             return b"".join([self.pieces[p] for p in parts])
-        word = ("" if before == "" else " ") + word
+        if not word:
+            return self.pieces[before] if before else b""
+        word = (" " if before else "") + word
         if self.normalizer is not None:
             word = self.normalizer.normalize_str(word)
         return b"".join([self.pieces[p] for p, _ in self.splitter.pre_tokenize_str(word)])
@@ -108,7 +107,8 @@ class WordEncoder:
     def _encode_runs(self, text: str) -> bytes:
         """A text in which some spaces belong to a run of white space."""
         head, *words = _CUT.split(text)
-        return self._encode_word(head, "") + b"".join([self.words[w[1:]] for w in words])
+        return self._encode_word(head, "") + b"".join(
+            [self._encode_word(w[1:], self.before) for w in words])
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's ids end."""
@@ -129,7 +129,8 @@ class WordEncoder:
         words = split.flatten().dictionary_encode()
         at = words.indices.to_numpy()
         ends = np.cumsum(pc.list_value_length(split).to_numpy())
-        table = list(map(self.words.__getitem__, words.dictionary.to_pylist()))
+        before = self.before
+        table = [self._encode_word(w, before) for w in words.dictionary.to_pylist()]
         if heads:
             at = at.copy()
             at[np.concatenate([[0], ends[:-1]])] = len(table) + np.arange(len(heads))

@@ -50,7 +50,8 @@ PER_CLASS = 4000
 THRESHOLD = 0.7
 BEGIN, STOP = "\x02", "\x03"
 SEED = 42
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 2_000_000
+KNOWN_GRAMS = 200_000
 RIDGE = 1e-2
 FEATURES = "doc_id long, mean double, first double, second double"
 
@@ -138,7 +139,7 @@ class Model:
     def word_scores(self, words: list[str]) -> np.ndarray:
         """log p(word | toxic) - log p(word | ordinary) for each word."""
         known = self.__dict__.setdefault("_known", {})
-        if len(known) > 500_000:
+        if len(known) > KNOWN_GRAMS:
             known.clear()
         cut = [grams(w, self.order) for w in words]
         new = list({g for gs in cut for g in gs if g not in known})
@@ -304,8 +305,8 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
     @F.pandas_udf("double")
     def toxic(texts):
-        parts = [model.probability(model.features(texts.iloc[i:i + 1000].tolist()))
-                 for i in range(0, len(texts), 1000)]
+        parts = [model.probability(model.features(texts.iloc[i:i + 200].tolist()))
+                 for i in range(0, len(texts), 200)]
         return type(texts)(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.filter(toxic(text) < threshold)
