@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text
-from .subwords import ID_TYPE, WordEncoder, byte_characters
+from .subwords import WordEncoder, byte_characters
 
 ROWS = 64
 

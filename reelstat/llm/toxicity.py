@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .common import ascii_words, crc_remainder, id_text, lower_ascii, slices, written
 from .key_counts import KEY, SortedArrays, stored
-from .ngram_lm import counts_of_counts, discounts
+from .ngram_lm import discounts
 from .subwords import text_slices
 
 ORDER = 6
