@@ -51,7 +51,8 @@ THRESHOLD = 0.7
 BEGIN, STOP = "\x02", "\x03"
 SEED = 42
 SLICE_BYTES = 2_000_000
-KNOWN_GRAMS = 200_000
+#: N-grams and words whose scores a worker remembers.
+KNOWN_GRAMS, KNOWN_WORDS = 200_000, 300_000
 RIDGE = 1e-2
 FEATURES = "doc_id long, mean double, first double, second double"
 
@@ -138,6 +139,16 @@ class Model:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """log p(word | toxic) - log p(word | ordinary) for each word."""
+        scored = self.__dict__.setdefault("_scored", {})
+        new = [w for w in words if w not in scored]
+        if len(scored) + len(new) > KNOWN_WORDS:
+            scored.clear()
+            new = words
+        if new:
+            scored.update(zip(new, self._word_scores(new).tolist()))
+        return np.array([scored[w] for w in words])
+
+    def _word_scores(self, words: list[str]) -> np.ndarray:
         known = self.__dict__.setdefault("_known", {})
         if len(known) > KNOWN_GRAMS:
             known.clear()
@@ -156,7 +167,7 @@ class Model:
         return np.array([sum(map(at, gs)) for gs in cut])
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_known"}
+        return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
 
     def features(self, texts: list[str]) -> np.ndarray:
         number: dict[bytes, int] = {}
