@@ -167,11 +167,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, may_cut: bool = Tr
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
-           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+           id_col: str = "doc_id", text_col: str = "text",
+           added_tokens: bool = False) -> DataFrame:
     """Whole windows and remainders of every document: doc_id, text_hash, start,
     length, doc_tokens, ids (binary, little-endian unsigned 32-bit)."""
     def run(batches):
-        encoder, end = word_encoder(tokenizer_path, drops_space=True), np.array([end_id], ID_TYPE)
+        encoder = word_encoder(tokenizer_path, drops_space=True, added_tokens=added_tokens)
+        end = np.array([end_id], ID_TYPE)
         for batch in batches:
             for rows, ids, ends in encoder.encode_column(batch):
                 texts, starts, sizes, parts = [], [], [], []
@@ -254,31 +256,34 @@ PLACED = ["doc_id", "text_hash", "start", "length", "doc_tokens", "sequence_id",
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                    end_id: int = END_ID, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Where every id of every document goes: a row for each piece, with
     doc_id, text_hash, start, length, doc_tokens, sequence_id, offset and
     ids_crc32 (of the piece's ids as little-endian unsigned 32-bit).
 
     Texts are encoded once, and what is kept of a piece is a narrow row.  The
     few pieces that the plan cuts are encoded again (see ``with_ids``).
+    ``added_tokens``: as for ``subwords.WordEncoder``.
 
     Defined results: NULL and empty texts are the end id alone; repeated rows
     are packed each; an empty table gives an empty result.
     """
-    table = written(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col)
+    table = written(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, added_tokens)
                     .withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
     placed = written(pack(table, ["doc_id", "text_hash", "start"], capacity), "placed")
     whole = placed.filter("placed = length")
     parts = (placed.filter("placed < length")
                    .withColumn("start", F.col("start") + F.col("cut"))
                    .withColumn("length", F.col("placed")))
-    parts = with_ids(parts.select(PLACED), docs, tokenizer_path, end_id, id_col, text_col)
+    parts = with_ids(parts.select(PLACED), docs, tokenizer_path, end_id, id_col, text_col,
+                     added_tokens)
     return (whole.select(*PLACED, "ids_crc32")
                  .unionByName(parts.withColumn("ids_crc32", F.crc32("ids")).drop("ids")))
 
 
 def with_ids(placed: DataFrame, docs: DataFrame, tokenizer_path: str, end_id: int = END_ID,
-             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+             id_col: str = "doc_id", text_col: str = "text",
+             added_tokens: bool = False) -> DataFrame:
     """Placed pieces with their ids (binary, little-endian unsigned 32-bit).
 
     Pieces of one text are gathered (a text's own pieces, never a group of
@@ -288,7 +293,8 @@ def with_ids(placed: DataFrame, docs: DataFrame, tokenizer_path: str, end_id: in
     schema = "piece struct<" + ", ".join(f"{c}: bigint" for c in PLACED) + ">, ids binary"
 
     def run(batches):
-        encoder, end = word_encoder(tokenizer_path, drops_space=True), np.array([end_id], ID_TYPE)
+        encoder = word_encoder(tokenizer_path, drops_space=True, added_tokens=added_tokens)
+        end = np.array([end_id], ID_TYPE)
         for batch in batches:
             for at in range(batch.num_rows):
                 ids = np.concatenate([encoder.encode(batch["text"][at].as_py()), end])

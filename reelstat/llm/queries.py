@@ -27,7 +27,7 @@ def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack(docs: DataFrame) -> DataFrame:
-    return packing.pack_documents(docs, WORD_BPE).select(
+    return packing.pack_documents(docs, WORD_BPE, added_tokens=True).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -64,7 +64,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "llm", f"token-files-{uuid.uuid4().hex}")
-    token_files.write_token_files(documents(spark, sf_dir), path, BYTE_BPE)
+    token_files.write_token_files(documents(spark, sf_dir), path, BYTE_BPE, added_tokens=True)
     return token_files.read_token_files(spark, path).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

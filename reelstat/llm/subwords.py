@@ -69,10 +69,25 @@ class _Recent(dict):
 class WordEncoder:
     """``tokenizer``: a byte-level tokenizers.Tokenizer.  ``drops_space``: its
     pre-tokenizer removes white space and folds case, so words stand alone;
-    otherwise every word but a text's first begins with its space."""
-
-    def __init__(self, tokenizer, drops_space: bool = False, max_pieces: int = MAX_PIECES):
-        tokenizer.encode_special_tokens = True  # in a text they are ordinary text
+    otherwise every word but a text's first begins with its space.
+
+    ``added_tokens``: the tokenizer's added tokens are matched in the texts, as
+    the library does by default, and what stands between them is encoded by
+    itself; otherwise they are ordinary text."""
+
+    def __init__(self, tokenizer, drops_space: bool = False, max_pieces: int = MAX_PIECES,
+                 added_tokens: bool = False):
+        self.added, self.added_ids = None, {}
+        if added_tokens:
+            added = tokenizer.get_added_tokens_decoder()
+            if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values()):
+                raise ValueError("added tokens must be matched as they stand in the text")
+            self.added_ids = {t.content: i for i, t in added.items()}
+            # of tokens that begin at one place the longest is matched
+            names = sorted(self.added_ids, key=len, reverse=True)
+            if names:
+                self.added = re.compile("(" + "|".join(map(re.escape, names)) + ")")
+        tokenizer.encode_special_tokens = True  # to the model they are ordinary text
         self.drops_space = drops_space
         self.model, self.splitter = tokenizer.model, tokenizer.pre_tokenizer
         self.normalizer = tokenizer.normalizer
@@ -112,6 +127,25 @@ class WordEncoder:
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's ids end."""
+        if any(pc.any(pc.match_substring(texts, t)).as_py() for t in self.added_ids):
+            return self._encode_around_added(texts)
+        return self._encode_plain(texts)
+
+    def _encode_around_added(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        between, ids_of, after, last = [], [], [], []
+        for text in texts.to_pylist():
+            segments = self.added.split(text)  # text, token, text, ..., text
+            ids_of += [self.added_ids[t] for t in segments[1::2]]
+            after += range(len(between), len(between) + len(segments) // 2)
+            between += segments[::2]
+            last.append(len(between) - 1)
+        ids, ends = self._encode_plain(pa.array(between, pa.large_string()))
+        after = np.array(after, np.int64)
+        last = np.array(last, np.int64)
+        return (np.insert(ids, ends[after], np.array(ids_of, ID_TYPE)),
+                ends[last] + np.searchsorted(after, last))
+
+    def _encode_plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         heads = []  # ids of what stands before the first cut
         if self.drops_space:
             texts = pc.replace_substring(texts, "\n", " ")
@@ -162,11 +196,12 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_B
 _encoders: dict[tuple, WordEncoder] = {}
 
 
-def word_encoder(path: str, drops_space: bool = False) -> WordEncoder:
+def word_encoder(path: str, drops_space: bool = False, added_tokens: bool = False) -> WordEncoder:
     """The encoder of a tokenizer file, kept for the life of a Python worker."""
-    key = (path, drops_space)
+    key = (path, drops_space, added_tokens)
     if key not in _encoders:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        _encoders[key] = WordEncoder(Tokenizer.from_file(path), drops_space)
+        _encoders[key] = WordEncoder(Tokenizer.from_file(path), drops_space,
+                                     added_tokens=added_tokens)
     return _encoders[key]

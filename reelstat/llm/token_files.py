@@ -41,9 +41,9 @@ SEGMENTS = ("shard int, offset long, doc_ids array<long>, doc_tokens array<long>
             "block_words array<long>, words binary")
 
 
-def _segments(tokenizer_path: str, end_id: int, segment_ids: int):
+def _segments(tokenizer_path: str, end_id: int, segment_ids: int, added_tokens: bool):
     def encode(batches):
-        encoder = word_encoder(tokenizer_path)
+        encoder = word_encoder(tokenizer_path, added_tokens=added_tokens)
         shard, offset = TaskContext.get().partitionId(), 0
         doc_ids, parts, held = [], [], 0
         end = np.array([end_id], ID_TYPE)
@@ -78,12 +78,13 @@ def _segments(tokenizer_path: str, end_id: int, segment_ids: int):
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID,
                       id_col: str = "doc_id", text_col: str = "text",
-                      segment_ids: int = SEGMENT_IDS) -> None:
+                      segment_ids: int = SEGMENT_IDS, added_tokens: bool = False) -> None:
+    """``added_tokens``: as for ``subwords.WordEncoder``."""
     base = id_text(docs, id_col, text_col)
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     (base.repartitionByRange(slices(docs.sparkSession), *order)
          .sortWithinPartitions(*order)
-         .mapInArrow(_segments(tokenizer_path, end_id, segment_ids), SEGMENTS)
+         .mapInArrow(_segments(tokenizer_path, end_id, segment_ids, added_tokens), SEGMENTS)
          .write.parquet(path))
 
 

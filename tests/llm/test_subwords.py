@@ -1,6 +1,7 @@
 """Encoders against the libraries themselves, on texts made to trip the cutting."""
 
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -33,6 +34,32 @@ def test_ids_are_the_librarys(path, drops):
     assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
 
 
+@pytest.mark.parametrize("path, drops", [(queries.BYTE_BPE, False), (queries.WORD_BPE, True)])
+def test_added_tokens_are_matched_as_the_library_does_by_default(path, drops):
+    pick = random.Random(8)
+    some = [*PARTS, "<|startoftext|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext"]
+    made = texts(500) + ["".join(pick.choice(some) for _ in range(pick.randint(0, 14)))
+                         for _ in range(4000)] + ["<|endoftext|>", "<|endoftext|>" * 3]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(made, add_special_tokens=False)]
+    encoder = word_encoder(path, drops, added_tokens=True)
+    ids, ends = encoder.encode_batch(pa.array(made))
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+    assert encoder.encode(made[-1]).tolist() == want[-1]
+
+
+def test_registered_queries_match_added_tokens(spark, monkeypatch):
+    rows_in = [(1, "one <|endoftext|> two"), (2, "three"), (3, "<|startoftext|>x<|endoftext|>")]
+    docs = spark.createDataFrame(rows_in, "doc_id long, text string")
+    monkeypatch.setattr(queries, "documents", lambda *_: docs)
+    for query, path in ((queries.op9_token_files, queries.BYTE_BPE),
+                        (queries.op3_packing, queries.WORD_BPE)):
+        ids = {i: Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids + [2]
+               for i, t in rows_in}
+        got = query(spark, "").collect()
+        assert {r.doc_id: r.ids_crc32 for r in got} == \
+            {i: zlib.crc32(np.array(x, "<u4").tobytes()) for i, x in ids.items()}
+
+
 def test_ranks_give_tiktokens_ids_and_decode_back():
     bpe = byte_bpe.model(queries.BYTE_RANKS, public_tokenizers.PATTERN)
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={},
