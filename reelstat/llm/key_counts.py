@@ -66,7 +66,7 @@ def _unplanes(raw: bytes, kind: np.dtype) -> np.ndarray:
 
 def blobs(keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Rows of BLOBS for sorted distinct ``keys``; ``counts``: a row for each key."""
-    counts = counts.reshape(len(keys), -1).astype(COUNT)
+    counts = counts.reshape(len(keys), -1 if len(keys) else 1).astype(COUNT)
     # the bucket of a key is its share of the whole range
     edges = np.array([(b << 64) // buckets for b in range(1, buckets)], KEY)
     cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
@@ -163,6 +163,28 @@ class SortedArrays:
             self._offset = np.cumsum([0, *[n for _, n, _ in self.files]])
         return self._maps
 
+    def _at(self, places: np.ndarray, out: np.ndarray, part: int) -> np.ndarray:
+        maps = self.maps()
+        file = np.searchsorted(self._offset, places, "right") - 1
+        for i in np.unique(file):
+            here = file == i
+            out[here] = maps[i][part][places[here] - self._offset[i]]
+        return out
+
+    def keys_at(self, places: np.ndarray) -> np.ndarray:
+        """The keys at these places."""
+        return self._at(places, np.empty(len(places), KEY), 0)
+
+    def values_at(self, places: np.ndarray) -> np.ndarray:
+        """The values at these places."""
+        return self._at(places, np.empty((len(places), self.columns), np.int64), 1)
+
+    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``find`` for keys in any order."""
+        some, back = np.unique(keys, return_inverse=True)
+        place, values = self.find(some)
+        return place[back], values[back]
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For sorted ``keys``: the place of each among all (-1: not there), and
         its values (zeros)."""

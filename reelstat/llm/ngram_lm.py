@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark.
+"""Interpolated modified Kneser-Ney model of any order, counted in Spark.
 
 Tokens: words are runs of characters that are not ASCII white space, with A-Z
 in lower case; every text ends with an end token, and its first word's context
@@ -6,23 +6,26 @@ is a start token (a context only, never counted as a token).
 
 1. Words are counted by their 64-bit XXH64; the sorted array of these hashes is
    the vocabulary, and a word's place in it is its number.
-2. Bigrams are counted by the pair of numbers (two times 32 bits, exact), made
-   uniform by a bijection.
-3. From the distinct bigrams: how many words each word follows (continuations),
-   and how many of a context's followers were seen once, twice, or more.
-
-All three are written as sorted arrays into the shared folder and memory-mapped
-by the workers that score (``key_counts``); the driver only sees the list of
-files and the counts of counts.  With discounts D1, D2, D3+ from those,
-
-    p(w | h) = (max(c(h w) - D, 0) + (D1 n1(h) + D2 n2(h) + D3 n3(h)) p(w)) / c(h)
+2. For k = 2 to the order, k-grams are counted by the number of their first
+   k - 1 words and that of the last (two times 32 bits, exact), made uniform by
+   a bijection; a k-gram's place in the sorted array is its number.
+3. From the distinct k-grams, from the highest k down: how many words stand
+   before the last k - 1 words (continuations), and how many followers of the
+   first k - 1 words were seen once, twice, or more, and their total.
+
+All are written as sorted arrays into the shared folder and memory-mapped by the
+workers that score (``key_counts``); the driver only sees the list of files and
+the counts of counts.  No count is pruned.  With a the count of an n-gram of the
+highest order, or of one that begins a text, and the continuations of any other,
+and discounts D1, D2, D3+ of each order from these,
+
+    p(w | h) = (max(a(h w) - D, 0) + (D1 n1(h) + D2 n2(h) + D3 n3(h)) p(w | h')) / a(h .)
     p(w)     = (max(k(w) - D', 0) + (D'1 m1 + D'2 m2 + D'3 m3) / (V + 1)) / K
 
-with k(w) the number of words that w follows, K their sum, and V distinct
-tokens; the one more stands for unknown words.  After an unknown word p(w) holds.
-
-The order is two because of what distinct trigrams need: on the given texts
-their table alone is larger than the texts.
+with h' the context h less its first word, k(w) the number of words that w
+follows, K their sum, and V distinct tokens; the one more stands for unknown
+words.  Where h was not seen, p(w | h') holds.  Contexts do not reach back over
+the start token.
 
 Defined results: NULL and empty texts are the end token alone; repeated rows
 count each; without training texts every token has probability 1 / (V + 1) = 1.
@@ -87,39 +90,107 @@ def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(first.astype(KEY) << HALF | second.astype(KEY))
 
 
-def _count_bigrams(vocabulary: SortedArrays, buckets: int):
+def _since(size: int, begins: np.ndarray) -> np.ndarray:
+    """How many tokens of its text stand before each token."""
+    start = np.zeros(size, np.int64)
+    start[begins] = begins
+    return np.arange(size) - np.maximum.accumulate(start)
+
+
+def _grams(words: np.ndarray, since: np.ndarray, lower: np.ndarray, k: int):
+    """The tokens that end a k-gram of known words and a known context, and the
+    keys of these; ``lower``: numbers of the (k - 1)-grams that end at each token."""
+    at = np.flatnonzero((since >= k - 1) & (words >= 0))
+    at = at[lower[at - 1] >= 0]
+    return at, _pairs(lower[at - 1], words[at])
+
+
+def _numbered(tables: list[SortedArrays], words: np.ndarray, since: np.ndarray):
+    """For the words and each table of k-grams, k = 2 and up: the number of the
+    k-gram that ends at each token (-1: none or not seen) and its count."""
+    numbers = words
+    for k, table in enumerate(tables, 2):
+        at, keys = _grams(words, since, numbers, k)
+        place, values = table.lookup(keys)
+        numbers, counts = np.full(len(words), -1), np.zeros(len(words), np.int64)
+        numbers[at], counts[at] = place, values[:, 0]
+        yield numbers, counts
+
+
+def _count_grams(vocabulary: SortedArrays, tables: list[SortedArrays], buckets: int):
+    """Counts of the k-grams next above those of ``tables``."""
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, "text", SLICE_BYTES):
                 hashes, flat, begins = tokens(part["text"].to_pylist())
-                number = _numbers(vocabulary, hashes)[0][flat]
-                inner = np.ones(len(flat), bool)
-                inner[begins] = False  # a START follows nothing
-                at = np.flatnonzero(inner)
-                keys, counts = np.unique(_pairs(number[at - 1], number[at]), return_counts=True)
+                words, since = _numbers(vocabulary, hashes)[0][flat], _since(len(flat), begins)
+                lower = words
+                for lower, _ in _numbered(tables, words, since):
+                    pass
+                _, keys = _grams(words, since, lower, len(tables) + 2)
+                keys, counts = np.unique(keys, return_counts=True)
                 yield blobs(keys, counts, buckets)
     return run
 
 
+def _tails(tables: list[SortedArrays], numbers: np.ndarray) -> np.ndarray:
+    """Numbers of the k-grams of the last of ``tables`` less their first word."""
+    pairs = unmix(tables[-1].keys_at(numbers))
+    words = (pairs & LOW).astype(np.int64)
+    if len(tables) == 1:
+        return words
+    heads = _tails(tables[:-1], (pairs >> HALF).astype(np.int64))
+    return tables[-2].lookup(_pairs(heads, words))[0]
+
+
 def _spread(numbers: np.ndarray, vocabulary: int) -> np.ndarray:
     """Numbers of words as keys that use the whole range, in the same order."""
     return numbers.astype(KEY) * np.uint64(max(1, ((1 << 64) - 1) // max(1, vocabulary)))
 
 
-def _followers(vocabulary: int, buckets: int):
-    """Blobs of each word's (continuations, n1, n2, n3) in a bucket of bigrams."""
+def _first_words(tables: list[SortedArrays], numbers: np.ndarray) -> np.ndarray:
+    """Numbers of the first words of the k-grams of the last of ``tables``."""
+    for table in reversed(tables):
+        numbers = (unmix(table.keys_at(numbers)) >> HALF).astype(np.int64)
+    return numbers
+
+
+def _followers(tables: list[SortedArrays], adjusted: SortedArrays | None, below: int,
+               buckets: int):
+    """Blobs of (continuations, n1, n2, n3, total) of the (k - 1)-grams, of which
+    there are ``below``, in a bucket of k-grams (the last of ``tables``), whose
+    own counts are their continuations in ``adjusted``, if given."""
     def run(batches):
         for batch in batches:
             for file in batch.to_pylist():
                 path, n = file["path"], file["n"]
-                pairs = unmix(np.fromfile(path + ".keys", KEY))
+                keys = np.fromfile(path + ".keys", KEY)
                 counts = np.fromfile(path + ".values", file["kind"]).astype(np.int64)
-                rows = np.zeros((2 * n, 4), np.int64)
+                numbers = tables[-1].find(keys)[0]
+                if adjusted is not None:
+                    counts = adjusted.values_at(numbers)[:, 0]
+                rows = np.zeros((2 * n, 5), np.int64)
                 rows[:n, 0] = 1
                 rows[np.arange(n, 2 * n), np.minimum(counts, 3)] = 1
-                words = np.concatenate([pairs & LOW, pairs >> HALF])
-                words, rows = distinct(words, rows)
-                yield blobs(_spread(words, vocabulary), rows, buckets)
+                rows[n:, 4] = counts
+                heads = (unmix(keys) >> HALF).astype(np.int64)
+                some, rows = distinct(np.concatenate([_tails(tables, numbers), heads]), rows)
+                yield blobs(_spread(some, below), rows, buckets)
+    return run
+
+
+def _starts(tables: list[SortedArrays], start: int, buckets: int):
+    """Blobs like those of ``_followers``, with the counts of the k-grams that
+    begin with the start token, as no word stands before them."""
+    def run(batches):
+        for batch in batches:
+            for file in batch.to_pylist():
+                numbers = tables[-1].find(np.fromfile(file["path"] + ".keys", KEY))[0]
+                counts = np.fromfile(file["path"] + ".values", file["kind"]).astype(np.int64)
+                here = _first_words(tables, numbers) == start
+                rows = np.zeros((int(here.sum()), 5), np.int64)
+                rows[:, 0] = counts[here]
+                yield blobs(_spread(numbers[here], len(tables[-1])), rows, buckets)
     return run
 
 
@@ -139,52 +210,54 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    vocabulary: SortedArrays  # counts: c
-    bigrams: SortedArrays     # counts: c
-    words: SortedArrays       # counts: continuations, n1, n2, n3
-    tokens: int               # N
-    distinct: int             # V
-    continuations: int        # K
-    d: np.ndarray
+    vocabulary: SortedArrays    # counts: c
+    grams: list[SortedArrays]   # of k-grams, k = 2 to the order; counts: c
+    stats: list[SortedArrays]   # of k-grams, k = 1 to the order - 1: a row for
+    # each number with continuations (or c), n1, n2, n3 and total
+    tokens: int                 # N
+    distinct: int               # V
+    continuations: int          # K
+    d: list[np.ndarray]         # of k-grams, k = 2 to the order
     d_low: np.ndarray
-    left_over: float          # D'1 m1 + D'2 m2 + D'3 m3
+    left_over: float            # D'1 m1 + D'2 m2 + D'3 m3
 
     def score(self, texts: list[str]):
         """For each text: tokens, known tokens, base score, score."""
         hashes, flat, begins = tokens(texts)
         number, c = _numbers(self.vocabulary, hashes)
-        keys = _spread(np.maximum(number, 0), len(self.vocabulary))
-        order = np.argsort(keys, kind="stable")
-        stats = np.empty((len(keys), 4), np.int64)
-        stats[order] = self.words.find(keys[order])[1]
-        stats[number < 0] = 0
-        k = stats[:, 0]
+        k = np.zeros(len(hashes), np.int64)
+        k[number >= 0] = self.stats[0].values_at(number[number >= 0])[:, 0]
         uniform = 1 / (self.distinct + 1)
         low = np.full(len(hashes), uniform)
         if self.continuations:
             low = (np.maximum(k - self.d_low[np.minimum(k, 3)], 0)
                    + self.left_over * uniform) / self.continuations
-        held = stats[:, 1:] @ self.d[1:]
         base = np.log10((c + 1) / (self.tokens + self.distinct + 1))
 
-        inner = np.ones(len(flat), bool)
-        inner[begins] = False
-        at = np.flatnonzero(inner)
-        h, w = flat[at - 1], flat[at]
-        known = (number[h] >= 0) & (number[w] >= 0)
-        pairs, back = np.unique(_pairs(number[h[known]], number[w[known]]), return_inverse=True)
-        seen = np.zeros(len(at), np.int64)
-        seen[known] = self.bigrams.find(pairs)[1][back, 0]
-        total = np.maximum(c[h], 1)
-        p = np.where(c[h] > 0, (np.maximum(seen - self.d[np.minimum(seen, 3)], 0)
-                                + held[h] * low[w]) / total, low[w])
-        first = begins - np.arange(len(begins))  # places among the inner tokens
+        words, since = number[flat], _since(len(flat), begins)
+        p, lower, top = low[flat], words, len(self.grams) - 1
+        for i, (numbers, counts) in enumerate(_numbered(self.grams, words, since)):
+            at = np.flatnonzero(since >= i + 1)
+            at = at[lower[at - 1] >= 0]
+            context = self.stats[i].values_at(lower[at - 1])
+            if i < top:
+                counts[numbers >= 0] = self.stats[i + 1].values_at(numbers[numbers >= 0])[:, 0]
+            seen, total, d = counts[at], context[:, 4], self.d[i]
+            p[at] = np.where(total > 0, (np.maximum(seen - d[np.minimum(seen, 3)], 0)
+                                         + context[:, 1:4] @ d[1:] * p[at])
+                             / np.maximum(total, 1), p[at])
+            lower = numbers
+        at = np.flatnonzero(since > 0)  # a START is no token
+        w = flat[at]
+        first = begins - np.arange(len(begins))  # places among these
         per_text = [np.add.reduceat(x, first) for x in (
-            np.ones(len(at), np.int64), (c[w] > 0).astype(np.int64), base[w], np.log10(p))]
+            np.ones(len(at), np.int64), (c[w] > 0).astype(np.int64), base[w], np.log10(p[at]))]
         return per_text
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Model:
+def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
+    if order < 2:
+        raise ValueError("the order is two or more")
     spark = docs.sparkSession
     buckets, folder = slices(spark), scratch_path(spark, "llm", f"ngram-{uuid.uuid4().hex}")
     ship_package(spark)
@@ -192,32 +265,48 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     words = merged(texts.mapInArrow(_count_words(buckets), BLOBS), folder + "/words", 1,
                    lambda keys, counts: counts.sum().tobytes())
     vocabulary = SortedArrays.of(words, 1)
-    if len(vocabulary) >= 1 << 32:
-        raise ValueError("more than 2**32 distinct words: pairs need more than 64 bits")
     noted = sum(int(np.frombuffer(r["note"], np.int64)[0]) for r in words.select("note").collect())
-    bigrams = merged(texts.mapInArrow(_count_bigrams(vocabulary, buckets), BLOBS),
-                     folder + "/bigrams", 1,
-                     lambda keys, counts: counts_of_counts(counts[:, 0]).tobytes())
-    followers = merged(
-        bigrams.select("path", "n", "kind").repartition(buckets).mapInArrow(
-            _followers(len(vocabulary), buckets), BLOBS),
-        folder + "/followers", 4,
-        lambda keys, counts: np.concatenate(
-            [[counts[:, 0].sum()], counts_of_counts(counts[:, 0])]).tobytes())
 
     def notes(files: DataFrame, n: int) -> np.ndarray:
         rows = [np.frombuffer(r["note"], np.int64) for r in files.select("note").collect()]
         return np.sum([np.zeros(n, np.int64), *rows], axis=0)
 
-    low = notes(followers, 5)
-    d_low = discounts(low[1:])
+    def each_file(files: DataFrame, run) -> DataFrame:
+        return files.select("path", "n", "kind").repartition(buckets).mapInArrow(run, BLOBS)
+
+    files, grams = [], []
+    for k in range(2, order + 1):
+        if max([len(vocabulary), *map(len, grams)]) >= 1 << 32:
+            raise ValueError("more than 2**32 distinct n-grams: pairs need more than 64 bits")
+        files.append(merged(texts.mapInArrow(_count_grams(vocabulary, grams[:], buckets), BLOBS),
+                            f"{folder}/grams{k}", 1,
+                            lambda keys, counts: counts_of_counts(counts[:, 0]).tobytes()))
+        grams.append(SortedArrays.of(files[-1], 1))
     with_start = 1 if len(vocabulary) else 0
     place, starts = _numbers(vocabulary, np.array([xxhash.xxh64_intdigest(START)], KEY)) \
         if len(vocabulary) else (np.array([-1]), np.array([0]))
+
+    d, stats, adjusted = [discounts(notes(files[-1], 4))], [], None
+    for i in reversed(range(order - 1)):  # the (i + 2)-grams
+        below = len(grams[i - 1]) if i else len(vocabulary)
+        parts = each_file(files[i], _followers(grams[:i + 1], adjusted, below, buckets))
+        if i:
+            parts = parts.unionByName(each_file(
+                files[i - 1], _starts(grams[:i], int(place[0]), buckets)))
+        followers = merged(parts, f"{folder}/followers{i + 2}", 5,
+                           lambda keys, counts: np.concatenate(
+                               [[counts[:, 0].sum()], counts_of_counts(counts[:, 0])]).tobytes())
+        adjusted = SortedArrays.of(followers, 5)
+        if len(adjusted) != below:
+            raise RuntimeError(f"{len(adjusted)} rows for {below} n-grams")
+        stats.insert(0, adjusted)
+        low = notes(followers, 5)
+        if i:
+            d.insert(0, discounts(low[1:]))
+    d_low = discounts(low[1:])
     many = int(len(vocabulary) - with_start - low[1] - low[2])  # followed three words or more
-    return Model(vocabulary, SortedArrays.of(bigrams, 1), SortedArrays.of(followers, 4),
-                 noted - int(starts[0]), len(vocabulary) - with_start, int(low[0]),
-                 discounts(notes(bigrams, 4)), d_low,
+    return Model(vocabulary, grams, stats, noted - int(starts[0]), len(vocabulary) - with_start,
+                 int(low[0]), d, d_low,
                  float(d_low[1] * low[1] + d_low[2] * low[2] + d_low[3] * max(many, 0)))
 
 
@@ -238,12 +327,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id",
 
 
 def score_held_out(docs: DataFrame, modulus: int = 7, held_out: int = 2, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", order: int = 2) -> DataFrame:
     """Train on the rows whose crc32 of the id leaves another remainder, and
     score all rows."""
     base = id_text(docs, id_col, text_col)
     remainder = crc_remainder(F.col("doc_id"), modulus)
-    model = train(base.filter(remainder != held_out))
+    model = train(base.filter(remainder != held_out), order=order)
     return (score(base, model)
             .withColumn("held_out", crc_remainder(F.col("doc_id"), modulus) == held_out)
             .withColumn("train_tokens", F.lit(model.tokens).cast("long")))

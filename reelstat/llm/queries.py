@@ -15,6 +15,7 @@ from .common import documents, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+NGRAM_ORDER = 3
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -23,7 +24,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.score_held_out(documents(spark, sf_dir))
+    return ngram_lm.score_held_out(documents(spark, sf_dir), order=NGRAM_ORDER)
 
 
 def pack(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 
-from reelstat.llm import key_counts, ngram_lm
+from reelstat.llm import key_counts, ngram_lm, queries
 from tests.llm.helpers import empty, frame, rows, text_of
 
 
@@ -69,6 +69,64 @@ def test_scores_are_those_of_the_slow_model(spark):
         assert got.base_score == pytest.approx(base) and got.score == pytest.approx(score)
 
 
+class SlowOfOrder:
+    """Interpolated modified Kneser-Ney of any order, with dictionaries."""
+
+    def __init__(self, texts, order):
+        self.order, padded = order, [("<s>", *t) for t in texts]
+        raw = [None] + [collections.Counter(
+            t[i:i + k] for t in padded for i in range(len(t) - k + 1)) for k in range(1, order + 1)]
+        self.v = sum(g != ("<s>",) for g in raw[1])
+        self.a = {order: raw[order]}
+        for k in range(1, order):
+            self.a[k] = collections.Counter(g[1:] for g in raw[k + 1])
+            if k > 1:
+                self.a[k].update({g: c for g, c in raw[k].items() if g[0] == "<s>"})
+        self.d = {k: Slow.discounts(a) for k, a in self.a.items()}
+        self.total, self.held = collections.Counter(), collections.Counter()
+        for k, a in self.a.items():
+            for g, c in a.items():
+                self.total[g[:-1]] += c
+                self.held[g[:-1]] += self.d[k][min(c, 3)]
+
+    def p(self, h, w):
+        low = self.p(h[1:], w) if h else 1 / (self.v + 1)
+        if not self.total[h]:
+            return low
+        c = self.a[len(h) + 1][*h, w]
+        return (max(c - self.d[len(h) + 1][min(c, 3)], 0) + self.held[h] * low) / self.total[h]
+
+    def score(self, words):
+        t = ("<s>", *words)
+        return sum(math.log10(self.p(t[max(0, i - self.order + 1):i], t[i]))
+                   for i in range(1, len(t)))
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_of_any_order(spark, order):
+    train = [r for r in data() if r[0] is None or r[0] % 3]
+    model = ngram_lm.train(frame(spark, train), order=order)
+    slow = SlowOfOrder([tokens(text_of(r)) for r in train], order)
+    got = {(r.doc_id, r.n_tokens): r.score for r in ngram_lm.score(frame(spark, data()), model).collect()}
+    for r in data():
+        words = tokens(text_of(r))
+        assert got[r[0], len(words)] == pytest.approx(slow.score(words))
+    for h in ((), ("the",), ("<s>", "the"), ("on", "the"), ("unseen",)):
+        if len(h) < order:
+            assert sum(slow.p(h, w) for w in [*{w for w, in slow.a[1]}, "unknown"]) == pytest.approx(1)
+
+
+def test_the_registered_model_looks_two_words_back(spark, monkeypatch):
+    docs = frame(spark, data())
+    monkeypatch.setattr(queries, "documents", lambda *_: docs)
+    held = {r[0]: zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 == 2 for r in data()}
+    slow = SlowOfOrder([tokens(text_of(r)) for r in data() if not held[r[0]]], 3)
+    got = {(r.doc_id, r.n_tokens): r.score for r in queries.op2_ngram_lm(spark, "").collect()}
+    for r in data():
+        words = tokens(text_of(r))
+        assert got[r[0], len(words)] == pytest.approx(slow.score(words))
+
+
 def test_probabilities_sum_to_one():
     slow = Slow([tokens(text_of(r)) for r in data()])
     for h in ("the", "<s>", "cat", "unseen"):
