@@ -5,10 +5,12 @@ case.  Every k-gram of a text's words is hashed with its position and joined to
 the positions of the same k-gram in the templates (a fixed, small table).  A
 match votes for its diagonal, text position less template position: the words
 of one copy of a template lie on one diagonal, or, where words were added or
-dropped, on neighbouring ones.  Votes are combined by (text, template,
-diagonal), neighbouring diagonals are merged, and a merged span counts if it
-has at least ``MIN_SHARE`` of the template's k-grams, each met word by word,
-not by hash alone.
+dropped, on others.  Votes are combined by (text, template, diagonal).  The
+matches of one text and template that follow each other in the text and in the
+template are joined, however far their diagonals lie apart, as long as the
+template's length and ``MAX_GAP`` words more do not lie between two of them.  The
+longest such chains are the spans, and one counts if it has at least
+``MIN_SHARE`` of the template's k-grams, each met word by word, not by hash alone.
 
 Phrases must be met exactly: every k-gram of the phrase on one diagonal, which
 then is the word where the phrase begins.
@@ -22,16 +24,19 @@ rows each give a row with the same result.  An empty table gives an empty one.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
 from dataclasses import dataclass
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import id_text, lower_ascii, written
 
 K = 3
-MAX_SHIFT = 3
+MAX_GAP = 16
 MIN_SHARE = 0.6
 MAX_GRAMS = 63  # positions of a template are bits of a long
 
@@ -69,6 +74,27 @@ PASSAGES = (
                        "software foundation"),
     Template.of("cc-by-nc", "licensed under a creative commons attribution noncommercial "
                             "international license"),
+    Template.of("mit", "the above copyright notice and this permission notice shall be included in "
+                       "all copies or substantial portions of the software"),
+    Template.of("mit", "the software is provided as is without warranty of any kind express or "
+                       "implied including but not limited to the warranties of merchantability "
+                       "fitness for a particular purpose and noninfringement"),
+    Template.of("apache-2", "unless required by applicable law or agreed to in writing software "
+                            "distributed under the license is distributed on an as is basis "
+                            "without warranties or conditions of any kind either express or "
+                            "implied"),
+    Template.of("bsd", "redistributions of source code must retain the above copyright notice this "
+                       "list of conditions and the following disclaimer"),
+    Template.of("bsd", "this software is provided by the copyright holders and contributors as is "
+                       "and any express or implied warranties including but not limited to the "
+                       "implied warranties of merchantability and fitness for a particular purpose "
+                       "are disclaimed"),
+    Template.of("gpl", "this program is distributed in the hope that it will be useful but without "
+                       "any warranty without even the implied warranty of merchantability or "
+                       "fitness for a particular purpose see the gnu general public license for "
+                       "more details"),
+    Template.of("gpl", "you should have received a copy of the gnu general public license along "
+                       "with this program"),
 )
 
 
@@ -115,27 +141,76 @@ def _votes(keyed: DataFrame, templates: tuple[Template, ...], k: int) -> DataFra
                  .agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("votes")))
 
 
+def chains(matches: list[tuple[int, int]], reach: int, least: float) -> list[tuple[int, int]]:
+    """(start, length) of the longest chains of ``least`` matches (place in the
+    text, place in the template) or more that ascend in both places, with steps
+    of at most ``reach`` words of the text; chains do not overlap."""
+    # by template place: (text place, length, start) of chains that end there,
+    # the longest first; a later one that is as long replaces it
+    ends: dict[int, deque] = {}
+    found = []
+    for position, group in groupby(sorted(matches), lambda m: m[0]):
+        new = []
+        for _, at in group:
+            length, start = 0, position
+            for before, some in ends.items():
+                while some and some[0][0] < position - reach:
+                    some.popleft()
+                if before < at and some and (some[0][1], some[0][2]) > (length, start if length else -1):
+                    _, length, start = some[0]
+            new.append((at, length + 1, start))
+        for at, length, start in new:
+            some = ends.setdefault(at, deque())
+            while some and some[-1][1] <= length:
+                some.pop()
+            some.append((position, length, start))
+            if length >= least:
+                found.append((-length, position - start, start, position))
+    taken: list[tuple[int, int]] = []
+    out = []
+    for length, _, start, end in sorted(found):
+        i = bisect_left(taken, (start, end))
+        if (i == 0 or taken[i - 1][1] < start) and (i == len(taken) or taken[i][0] > end):
+            insort(taken, (start, end))
+            out.append((start, -length))
+    return sorted(out)
+
+
+def _joined(min_share: float, max_gap: int):
+    """Spans of the texts' matches with one template."""
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                matches = [(d["diagonal"] + at, at) for d in r["diagonals"]
+                           for at in range(r["grams"]) if d["votes"] >> at & 1]
+                least = min_share * r["grams"] - 1e-9
+                rows += [(r["key"], r["label"], start, length / r["grams"])
+                         for start, length in chains(matches, r["grams"] + max_gap, least)]
+            key, label, start, share = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key, pa.int64()), pa.array(label, pa.string()),
+                 pa.array(start, pa.int32()), pa.array(share, pa.float64())],
+                ["key", "label", "start", "share"])
+    return run
+
+
 def spans(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + PASSAGES, k: int = K,
-          max_shift: int = MAX_SHIFT, min_share: float = MIN_SHARE, id_col: str = "doc_id",
+          max_gap: int = MAX_GAP, min_share: float = MIN_SHARE, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """Verified spans: key (of id and text), label, exact, start (word), share
     (of the template's k-grams)."""
     votes = written(_votes(_keyed(docs, id_col, text_col), templates, k), "votes")
-    share = F.bit_count("votes") / F.col("grams")
     exact = votes.filter(F.col("exact") & (F.bit_count("votes") == F.col("grams"))) \
         .select("key", "label", "exact", F.col("diagonal").alias("start"), F.lit(1.0).alias("share"))
-    # diagonals of one text and template in order; a gap begins another span
-    order = W.partitionBy("key", "template").orderBy("diagonal")
-    gap = F.col("diagonal") - F.lag("diagonal").over(order) > max_shift
-    merged = (votes.filter(~F.col("exact"))
-              .withColumn("begins", F.coalesce(gap, F.lit(True)).cast("int"))
-              .withColumn("span", F.sum("begins").over(order))
-              .groupBy("key", "template", "label", "exact", "grams", "span")
-              .agg(F.bit_or("votes").alias("votes"), F.min("diagonal").alias("start"))
-              .filter(share >= min_share)
-              .select("key", "label", "exact", F.greatest("start", F.lit(0)).alias("start"),
-                      share.alias("share")))
-    return exact.unionByName(merged)
+    # a text's own diagonals of one template, if all together are enough of it
+    gathered = (votes.filter(~F.col("exact")).groupBy("key", "template", "label", "grams")
+                     .agg(F.bit_or("votes").alias("all"),
+                          F.collect_list(F.struct("diagonal", "votes")).alias("diagonals"))
+                     .filter(F.bit_count("all") >= F.col("grams") * min_share - 1e-9))
+    joined = gathered.select("key", "label", "grams", "diagonals").mapInArrow(
+        _joined(min_share, max_gap), "key long, label string, start int, share double")
+    return exact.unionByName(joined.withColumn("exact", F.lit(False)))
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + PASSAGES, k: int = K,

@@ -48,3 +48,39 @@ def test_phrases_and_passages(spark):
 def test_every_row_once_and_empty_table(spark):
     assert license_scan.scan(frame(spark)).count() == len(rows())
     assert license_scan.scan(empty(spark)).count() == 0
+
+
+def test_copies_with_words_put_in_or_left_out(spark):
+    rows_in, want = [], {}
+
+    def add(words, label):
+        want[len(rows_in)] = label
+        rows_in.append((len(rows_in), "before it " + " ".join(words) + " and after", "", "", 0))
+
+    for t in license_scan.PASSAGES:
+        half = len(t.words) // 2
+        for n in range(4, 11):
+            extra = [f"extra{i}" for i in range(n)]
+            add([*t.words[:half], *extra, *t.words[half:]], t.label)
+        if len(t.words) > 25:
+            add([*t.words[:half - 2], *t.words[half + 2:]], t.label)
+            third = len(t.words) // 3
+            add([*t.words[:third], *extra, *t.words[third:2 * third], *extra, *t.words[2 * third:]],
+                t.label)
+        add([*t.words[half:], *extra, *t.words[:half]], "")  # not in the template's order
+        add([*t.words[:half], *(["other"] * 200), *t.words[half:]], "")  # too far apart
+    mit = license_scan.PASSAGES[0].words
+    at = mit.index("software") + 1
+    add([*mit[:at], *"which we give to you today".split(), *mit[at:]], "mit")
+    six = len(rows_in) - 1
+    got = {r.doc_id: r for r in license_scan.scan(frame(spark, rows_in)).collect()}
+    assert {i: r.labels for i, r in got.items()} == want
+    assert got[six].score == 25 / 27
+
+
+def test_each_copy_is_a_span():
+    one = [(i, i) for i in range(20)]
+    copies = [(p + 30 * c, at) for c in range(500) for p, at in one]
+    assert license_scan.chains(copies, 36, 12) == [(30 * c, 20) for c in range(500)]
+    assert license_scan.chains(one[:8] + [(p + 9, at) for p, at in one[8:]], 36, 12) == [(0, 20)]
+    assert license_scan.chains(one[:8] + [(p + 50, at) for p, at in one[8:]], 36, 12) == [(58, 12)]
