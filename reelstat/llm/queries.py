@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import (byte_bpe, exact_dedup, license_scan, line_dedup, ngram_lm, packing, simhash,
-               token_files, toxicity, weighted_sampling)
+from . import (byte_bpe, centroids, exact_dedup, license_scan, line_dedup, ngram_lm, packing,
+               simhash, token_files, toxicity, weighted_sampling)
 from .common import documents, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -74,6 +74,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(documents(spark, sf_dir))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ngram_lm": op2_ngram_lm,
@@ -85,8 +89,48 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_centroids": op13_centroids,
 }
 
+def _lloyd_sql(k: int = centroids.CLUSTERS, rounds: int = centroids.ROUNDS) -> str:
+    """Lloyd's rounds, every vector against every centroid, one pair of tables a round."""
+    nearest = """ AS MATERIALIZED (
+        SELECT n, any_value(vec_id) AS vec_id, any_value(v) AS v,
+               min(d * {k} + c) % {k} AS c, min(d * {k} + c) // {k} AS d
+        FROM (SELECT n, vec_id, p.v AS v, c.c AS c,
+                     list_sum([(p.v[i] - c.v[i]) * (p.v[i] - c.v[i])
+                               FOR i IN range(1, 65)])::BIGINT AS d
+              FROM points AS p, centres_{r} AS c) GROUP BY n)"""
+    moved = """ AS MATERIALIZED (
+        SELECT old.c, coalesce(new.v, old.v) AS v FROM centres_{r} AS old LEFT JOIN (
+            SELECT c, list((s - ((s % m) + m) % m) // m ORDER BY i) AS v
+            FROM (SELECT c, i, sum(x) AS s, count(*) AS m
+                  FROM (SELECT c, unnest(v) AS x, unnest(range(1, 65)) AS i FROM near_{r})
+                  GROUP BY c, i) GROUP BY c) AS new ON old.c = new.c)"""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"near_{r}" + nearest.format(k=k, r=r))
+        if r < rounds:
+            steps.append(f"centres_{r + 1}" + moved.format(r=r))
+    return f"""
+        WITH points AS MATERIALIZED (
+            SELECT row_number() OVER () AS n, vec_id,
+                   [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE len(embedding) = 64
+              AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64),
+        centres_0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v
+            FROM points ORDER BY sha256('3:' || vec_id) LIMIT {k}),
+        {", ".join(steps)}
+        SELECT vec_id, near_{rounds}.c::INT AS cluster, d::BIGINT AS distance,
+               (sum(d) OVER (PARTITION BY near_{rounds}.c))::BIGINT AS cluster_inertia,
+               (sum(d) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(centres_{rounds}.v, ',')) AS centroid_sha256
+        FROM near_{rounds} JOIN centres_{rounds} USING (c)
+    """
+
+
 #: DuckDB SQL of the queries that SQL can express.
 SQL = {
     "op10_exact_dedup": """
@@ -98,4 +142,5 @@ SQL = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op13_centroids": _lloyd_sql(),
 }

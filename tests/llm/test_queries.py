@@ -14,14 +14,15 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_one_query_for_each_operator():
     names = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SMALL).toPandas()
     assert compare(got, con.execute(queries.SQL[name]).df()) == "OK"
 
