@@ -2,57 +2,48 @@
 
 from .sqlkit import avg_cents, big, cents, rq, with_roles
 
-SALES_JOIN = """
-FROM payments p
-JOIN rentals r ON p.rental_id = r.rental_id
-JOIN copies i ON r.copy_id = i.copy_id
-JOIN titles f ON i.title_id = f.title_id
-JOIN title_cats fc ON f.title_id = fc.title_id
-JOIN categories cat ON fc.category_id = cat.category_id
+# What every title took, from the money of its copies' rentals, and its categories.
+TAKINGS = """
+till AS (
+  SELECT rental_id, sum(amount_cents) AS cash, count(*) AS slips
+  FROM payments WHERE rental_id IS NOT NULL GROUP BY rental_id),
+takings AS (
+  SELECT title_id, CAST(count(*) AS BIGINT) AS rentals, sum(cash) AS cash, sum(slips) AS slips
+  FROM till JOIN rentals USING (rental_id) JOIN copies USING (copy_id) GROUP BY title_id),
+genres AS (SELECT title_id, name AS category FROM title_cats JOIN categories USING (category_id)),
+genre_takings AS (
+  SELECT category, sum(rentals) AS rentals, count(*) AS titles, sum(cash) AS cash, sum(slips) AS slips
+  FROM takings JOIN genres USING (title_id) GROUP BY category)
 """
 
+# Ranks are one more than the number of larger figures.
 REVENUE_BY_CATEGORY = with_roles(f"""
-SELECT category, rentals, titles,
-       {cents('rev_c')} AS revenue,
-       {avg_cents('rev_c', 'n_pay')} AS avg_ticket,
-       {rq('rev_c * 100', 'sum(rev_c) OVER ()', 2)} AS share_pct,
-       {big('rank() OVER (ORDER BY rev_c DESC)')} AS revenue_rank,
-       {rq('rev_c', 'titles * 100', 2)} AS revenue_per_title
-FROM base
-""", f"""
-base AS (
-  SELECT cat.name AS category,
-         {big('count(DISTINCT r.rental_id)')} AS rentals,
-         {big('count(DISTINCT f.title_id)')} AS titles,
-         sum(p.amount_cents) AS rev_c,
-         count(*) AS n_pay
-  {SALES_JOIN}
-  GROUP BY cat.name)
-""")
+SELECT category, {big('rentals')} AS rentals, {big('titles')} AS titles, {cents('cash')} AS revenue,
+       {avg_cents('cash', 'slips')} AS avg_ticket,
+       {rq('cash * 100', '(SELECT sum(cash) FROM genre_takings)', 2)} AS share_pct,
+       {big('1 + (SELECT count(*) FROM genre_takings h WHERE h.cash > g.cash)')} AS revenue_rank,
+       {rq('cash', 'titles * 100', 2)} AS revenue_per_title
+FROM genre_takings g
+""", TAKINGS)
 
-TITLE_BASE = f"""
-tb AS (
-  SELECT f.title_id, f.title, cat.name AS category, f.rental_rate, f.rating,
-         {big('count(DISTINCT r.rental_id)')} AS rentals,
-         sum(p.amount_cents) AS rev_c
-  {SALES_JOIN}
-  GROUP BY f.title_id, f.title, cat.name, f.rental_rate, f.rating),
-ranked AS (
-  SELECT tb.*,
-         {big('rank() OVER (ORDER BY rev_c DESC)')} AS rank_all,
-         {big('rank() OVER (PARTITION BY category ORDER BY rev_c DESC)')} AS rank_in_category
-  FROM tb)
+TITLE_RANKS = TAKINGS + f""",
+listed AS (
+  SELECT title_id, title, category, rental_rate, rating, rentals, cash
+  FROM takings JOIN titles USING (title_id) JOIN genres USING (title_id)),
+placed AS (
+  SELECT title_id, title, category, CAST(rental_rate AS DOUBLE) AS rental_rate, rating, rentals,
+         {cents('cash')} AS revenue,
+         {big('(SELECT count(*) FROM listed o WHERE o.cash > l.cash) + 1')} AS rank_all,
+         {big('(SELECT count(*) FROM listed o WHERE o.cash > l.cash AND o.category = l.category) + 1')}
+           AS rank_in_category
+  FROM listed l)
 """
 
-TITLE_COLS = f"""title_id, title, category, CAST(rental_rate AS DOUBLE) AS rental_rate, rating,
-       rentals, {cents('rev_c')} AS revenue, rank_all, rank_in_category"""
+TOP_TITLES = with_roles("""
+FROM placed QUALIFY row_number() OVER (ORDER BY revenue DESC, title_id, category) <= 10
+""", TITLE_RANKS)
 
-TOP_TITLES = with_roles(f"""
-SELECT {TITLE_COLS}
-FROM ranked ORDER BY rev_c DESC, title_id, category LIMIT 10
-""", TITLE_BASE)
-
-TITLE_RANKING = with_roles(f"SELECT {TITLE_COLS} FROM ranked", TITLE_BASE)
+TITLE_RANKING = with_roles("FROM placed", TITLE_RANKS)
 
 TITLES_WITH_IDLE_COPIES = with_roles(f"""
 SELECT title_id, title, name AS category, CAST(rental_rate AS DOUBLE) AS rental_rate, rating,
@@ -84,45 +75,36 @@ WHERE NOT EXISTS (SELECT 1 FROM copies i JOIN rentals r ON r.copy_id = i.copy_id
                   WHERE i.title_id = o.title_id AND i.store_id = o.store_id)
 """)
 
+# Titles of one text count together.
 TOP3_PER_CATEGORY = with_roles(f"""
-SELECT category, title, rentals, {cents('rev_c')} AS revenue, category_rank
-FROM (
-  SELECT cat.name AS category, f.title AS title,
-         {big('count(DISTINCT r.rental_id)')} AS rentals,
-         sum(p.amount_cents) AS rev_c,
-         {big('rank() OVER (PARTITION BY cat.name ORDER BY sum(p.amount_cents) DESC)')} AS category_rank
-  {SALES_JOIN}
-  GROUP BY cat.name, f.title) t
-WHERE category_rank <= 3
+SELECT category, title, rentals, {cents('cash')} AS revenue,
+       {big('1 + ahead')} AS category_rank
+FROM (SELECT a.*, (SELECT count(*) FROM texts b WHERE b.category = a.category AND b.cash > a.cash) AS ahead
+      FROM texts a) x
+WHERE ahead < 3
+""", TAKINGS + f""",
+texts AS (
+  SELECT category, title, {big('sum(rentals)')} AS rentals, sum(cash) AS cash
+  FROM takings JOIN titles USING (title_id) JOIN genres USING (title_id) GROUP BY category, title)
 """)
 
 REVENUE_BY_PRICE_TIER = with_roles(f"""
-SELECT CAST(rental_rate AS DOUBLE) AS rental_rate, titles, rentals,
-       {cents('rev_c')} AS revenue,
-       {avg_cents('rev_c', 'n_pay')} AS avg_ticket,
-       {rq('rev_c * 100', 'sum(rev_c) OVER ()', 2)} AS share_pct,
-       {rq('rentals', 'titles', 1)} AS rentals_per_title
-FROM (
-  SELECT f.rental_rate,
-         {big('count(DISTINCT f.title_id)')} AS titles,
-         {big('count(DISTINCT r.rental_id)')} AS rentals,
-         sum(p.amount_cents) AS rev_c, count(*) AS n_pay
-  FROM payments p
-  JOIN rentals r ON p.rental_id = r.rental_id
-  JOIN copies i ON r.copy_id = i.copy_id
-  JOIN titles f ON i.title_id = f.title_id
-  GROUP BY f.rental_rate) t
-""")
+SELECT CAST(rental_rate AS DOUBLE) AS rental_rate, {big('count(*)')} AS titles,
+       {big('sum(rentals)')} AS rentals, {cents('sum(cash)')} AS revenue,
+       {avg_cents('sum(cash)', 'sum(slips)')} AS avg_ticket,
+       {rq('sum(cash) * 100', '(SELECT sum(cash) FROM takings)', 2)} AS share_pct,
+       {rq('sum(rentals)', 'count(*)', 1)} AS rentals_per_title
+FROM takings JOIN titles USING (title_id) GROUP BY rental_rate
+""", TAKINGS)
 
 REVENUE_PER_COPY = with_roles(f"""
-SELECT s.category, {cents('coalesce(v.rev_c, 0)')} AS revenue, s.copies,
-       {rq('coalesce(v.rev_c, 0)', 's.copies * 100', 2)} AS revenue_per_copy
-FROM (SELECT cat.name AS category, {big('count(*)')} AS copies
-      FROM copies i JOIN title_cats fc ON i.title_id = fc.title_id
-      JOIN categories cat ON fc.category_id = cat.category_id GROUP BY cat.name) s
-LEFT JOIN (SELECT cat.name AS category, sum(p.amount_cents) AS rev_c {SALES_JOIN}
-           GROUP BY cat.name) v ON s.category = v.category
-""")
+SELECT category, {cents('coalesce(cash, 0)')} AS revenue, copies,
+       {rq('coalesce(cash, 0)', 'copies * 100', 2)} AS revenue_per_copy
+FROM (SELECT category, {big('sum(copies)')} AS copies
+      FROM (SELECT title_id, count(*) AS copies FROM copies GROUP BY title_id) c
+      JOIN genres USING (title_id) GROUP BY category) s
+LEFT JOIN genre_takings USING (category)
+""", TAKINGS)
 
 SQL = {
     "q_revenue_by_category": REVENUE_BY_CATEGORY,
