@@ -12,8 +12,8 @@ customers.  The helpers here give the same answers with bounded tasks:
   one bucket, ties collapse in map-side aggregation.
 * ``top_n``           -- ``orderBy().limit()`` (partial top-k per task), then
   ranks among the survivors, which equal the global ranks.
-* ``median``          -- exact PERCENTILE_CONT(0.5) located through the same
-  cumulative counts, returned as a one-row frame.
+* ``median``          -- exact PERCENTILE_CONT(0.5) as a one-row frame (see
+  ``quantiles``).
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .exprs import dec, pct
+from .exprs import pct
+from .quantiles import FEW, grouped_quantiles
 
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -135,26 +136,11 @@ def median_of_counts(df: DataFrame, value: str, name: str = "median") -> DataFra
     return df.agg(F.percentile(F.col(value), F.lit(0.5)).alias(name))
 
 
-def median(df: DataFrame, value: str, name: str = "median",
-           buckets: int | None = None) -> DataFrame:
-    """One-row frame with the exact median of ``value`` (NULLs ignored).
+def median(df: DataFrame, value: str, name: str = "median", few: int = FEW) -> DataFrame:
+    """One-row frame with the exact median of ``value`` (NULLs ignored; NULL if
+    there is none).
 
-    Even counts average the two middle values (PERCENTILE_CONT(0.5)).  The
-    rows at positions floor((N+1)/2) and ceil((N+1)/2) are found from
-    cumulative counts, never by sorting the column in one task.
+    Even counts average the two middle values (PERCENTILE_CONT(0.5)), with one
+    decimal more than the values have.  Never sorts the column in one task.
     """
-    vals = df.where(F.col(value).isNotNull())
-    counts = vals.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    pref = _ordered_prefix(counts, [], F.col(value).asc(), "_n",
-                           buckets or _buckets(df))
-    total = counts.agg(F.sum("_n").alias("_total_n"))
-    pos = attach_one_row(pref, total).select(
-        value, "_n", "_before",
-        F.floor((F.col("_total_n") + 1) / 2).alias("_k1"),
-        F.ceil((F.col("_total_n") + 1) / 2).alias("_k2"))
-    hit1 = (F.col("_before") < F.col("_k1")) & (F.col("_k1") <= F.col("_before") + F.col("_n"))
-    hit2 = (F.col("_before") < F.col("_k2")) & (F.col("_k2") <= F.col("_before") + F.col("_n"))
-    picked = pos.where(hit1 | hit2).agg(
-        F.max(F.when(hit1, F.col(value))).alias("_v1"),
-        F.max(F.when(hit2, F.col(value))).alias("_v2"))
-    return picked.select(((dec("_v1", 24, 2) + dec("_v2", 24, 2)) / 2).alias(name))
+    return grouped_quantiles(df, [], value, {name: "0.5"}, few).agg(F.max(name).alias(name))
