@@ -36,6 +36,21 @@ NULL_PROFILE_RAW = "\nUNION ALL\n".join(
     f"{rq(f'(count(*) - count({c})) * 100', 'count(*)', 2)} AS pct FROM {t}"
     for t, cols in TABLE_COLUMNS.items() for c in cols)
 
+# The columns of whole numbers.
+WHOLE = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"],
+    "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"],
+    "part": ["p_partkey", "p_size"], "orders": ["o_orderkey", "o_custkey"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
+    "events": ["event_id", "user_id"], "documents": ["doc_id", "n_chars"],
+    "embeddings": ["vec_id", "label"], "pages": ["page_id"], "benchmark": ["item_id"],
+    "labels": ["doc_id", "quality", "toxic"], "conversations": ["conv_id", "turn"],
+}
+
+KEY_RANGES = "\nUNION ALL\n".join(
+    f"SELECT '{t}.{c}' AS field, {big(f'min({c})')} AS low, {big(f'max({c})')} AS high FROM {t}"
+    for t, cols in WHOLE.items() for c in cols)
+
 DUPLICATE_KEYS_RAW = "\nUNION ALL\n".join(
     f"SELECT '{t}.{'+'.join(k)}' AS check_name, "
     f"{big(f'count(*) - count(DISTINCT ({', '.join(k)}))' if len(k) > 1 else f'count(*) - count(DISTINCT {k[0]})')} AS duplicates FROM {t}"
@@ -73,6 +88,7 @@ WHERE l.l_shipdate IS NOT NULL AND l.l_shipdate < o.o_orderdate
 
 SQL = {
     "q_null_profile_raw": NULL_PROFILE_RAW,
+    "q_key_ranges": KEY_RANGES,
     "q_duplicate_keys_raw": DUPLICATE_KEYS_RAW,
     "q_orders_by_month": ORDERS_BY_MONTH,
     "q_event_daily_anomalies": EVENT_DAILY_ANOMALIES,

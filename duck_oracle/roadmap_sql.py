@@ -50,7 +50,34 @@ m AS (SELECT date_trunc('month', payment_date) AS month, sum(amount_cents) AS ca
       FROM payments WHERE rental_id IS NOT NULL GROUP BY 1)
 """)
 
+# Every payment beside its title's cast as a list: the first cents mod n of the
+# list (in order of the ids) get one cent more.
+REVENUE_BY_ACTOR = with_roles(f"""
+SELECT g.actor_id, a.first_name || ' ' || a.last_name AS actor_name, g.titles, g.payments,
+       {cents('g.full_c')} AS full_credit, {cents('g.part_c')} AS split_revenue,
+       {rq('g.part_c * 100', '(SELECT sum(amount_cents) FROM payments)', 2)} AS share_pct,
+       CASE WHEN g.actor_id IS NOT NULL THEN
+         {big('1 + (SELECT count(*) FROM g h WHERE h.actor_id IS NOT NULL AND h.part_c > g.part_c)')}
+       END AS revenue_rank
+FROM g LEFT JOIN actors a ON a.actor_id = g.actor_id
+""", f"""
+troupes AS (
+  SELECT title_id, list(actor_id ORDER BY actor_id) AS troupe, count(*) AS size
+  FROM casting GROUP BY title_id),
+receipts AS (
+  SELECT p.amount_cents AS c, i.title_id, coalesce(troupe, [NULL]) AS troupe, coalesce(size, 1) AS size
+  FROM payments p LEFT JOIN rentals r ON r.rental_id = p.rental_id
+       LEFT JOIN copies i ON i.copy_id = r.copy_id LEFT JOIN troupes t ON t.title_id = i.title_id),
+g AS (
+  SELECT actor_id, {big('count(DISTINCT title_id)')} AS titles, {big('count(*)')} AS payments,
+         sum(c) AS full_c, sum(c // size + if(place <= c % size, 1, 0)) AS part_c
+  FROM (SELECT title_id, c, size, unnest(troupe) AS actor_id, unnest(range(1, size + 1)) AS place
+        FROM receipts) x
+  GROUP BY actor_id)
+""")
+
 SQL = {
+    "q_revenue_by_actor": REVENUE_BY_ACTOR,
     "q_cohort_retention": COHORT_RETENTION,
     "q_price_elasticity": PRICE_ELASTICITY,
     "q_length_lateness": LENGTH_LATENESS,

@@ -31,6 +31,14 @@ titles AS (
 title_cats AS (
   SELECT p.p_partkey AS title_id, c.category_id
   FROM part p JOIN categories c ON p.p_type = c.name),
+casting AS (
+  SELECT p_partkey AS title_id,
+         CASE WHEN place = 0 AND p_partkey % 3 = 0 THEN 1
+              ELSE 2 + (p_partkey * 7 + place * 131) % 996 END AS actor_id
+  FROM part, range(4) AS places(place) WHERE place < p_partkey % 5),
+actors AS (
+  SELECT DISTINCT actor_id, 'Actor' AS first_name, lpad(CAST(actor_id AS VARCHAR), 9, '0') AS last_name
+  FROM casting),
 stores AS (SELECT CAST(r_regionkey AS BIGINT) AS store_id FROM region),
 staffs AS (
   SELECT s_suppkey AS staff_id, CAST(n_regionkey AS BIGINT) AS store_id,

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dec, mean, money_out, pct, ratio
+from ..functions.ordered import previous_row, running_sum
+from ..functions.quantiles import approx_quantiles, grouped_quantiles
 from ..functions.ranking import (attach_one_row, median, median_of_counts, rank_desc,
                                  small_rank_desc, top_n, with_share)
 from ..plans.bases import paid_rentals
@@ -37,11 +39,21 @@ def customer_metrics_dec(roles: Roles, active_only: bool = True) -> DataFrame:
 
 
 def _customer_metrics(roles: Roles, active_only: bool) -> DataFrame:
-    per = paid_rentals(roles).groupBy("customer_id").agg(
+    return metrics_of(customer_sums(paid_rentals(roles).withColumn("once", F.lit(1))), roles,
+                      active_only)
+
+
+def customer_sums(sales: DataFrame) -> DataFrame:
+    """Per customer of ``sales`` (paid, once, rental_date): what adds up over them."""
+    return sales.groupBy("customer_id").agg(
         F.sum("paid").alias("ltv"),
-        F.count(F.lit(1)).alias("rentals"),
+        F.sum("once").cast("long").alias("rentals"),
         F.min("rental_date").alias("first_rental"),
         F.max("rental_date").alias("last_rental"))
+
+
+def metrics_of(per: DataFrame, roles: Roles, active_only: bool = True) -> DataFrame:
+    """C1 from the sums per customer."""
     cust = roles.customer
     if active_only:
         cust = cust.where(F.col("active"))
@@ -80,12 +92,18 @@ def top_customers(roles: Roles, n: int = 20) -> DataFrame:
         pct("ltv", "_ltv_total").cast("double").alias("share_pct"))
 
 
-def segment_customers(m: DataFrame) -> DataFrame:
+def segment_cuts(roles: Roles) -> DataFrame:
+    """One row: the medians of LTV and of rentals over the active customers.
+
+    LTV has up to one distinct value per customer: distributed exact median.
+    Rental counts have at most sqrt(2N) distinct values: exact percentile."""
+    m = customer_metrics_dec(roles)
+    return derived(roles, "segment_cuts", lambda: median(m, "ltv", "median_ltv").crossJoin(
+        median_of_counts(m, "rentals", "median_rentals")))  # one row x one row
+
+
+def segment_customers(m: DataFrame, cuts: DataFrame) -> DataFrame:
     """C3 row level: add ``segment`` from the exact medians of LTV and rentals."""
-    # LTV has up to one distinct value per customer: distributed exact median.
-    # Rental counts have at most sqrt(2N) distinct values: exact percentile.
-    cuts = median(m, "ltv", "median_ltv").crossJoin(
-        median_of_counts(m, "rentals", "median_rentals"))  # one row x one row
     s = attach_one_row(m, cuts)
     hi_v = F.col("ltv") >= F.col("median_ltv")
     hi_f = F.col("rentals") >= F.col("median_rentals")
@@ -98,7 +116,7 @@ def segment_customers(m: DataFrame) -> DataFrame:
 
 def segment_summary(roles: Roles) -> DataFrame:
     """C3 summary: customers, revenue, their shares and means per segment."""
-    s = segment_customers(customer_metrics_dec(roles))
+    s = segment_customers(customer_metrics_dec(roles), segment_cuts(roles))
     g = s.groupBy("segment").agg(
         F.count(F.lit(1)).alias("customers"),
         F.sum("ltv").alias("revenue"),
@@ -124,7 +142,7 @@ def customer_segments_view(roles: Roles) -> DataFrame:
     """
     m = customer_metrics_dec(roles)
     total = m.agg(F.sum("ltv").alias("_ltv_total"))
-    s = segment_customers(m)
+    s = segment_customers(m, segment_cuts(roles))
     s = rank_desc(s, "ltv", "ltv_rank")
     s = attach_one_row(s, total)
     return s.select(
@@ -136,6 +154,41 @@ def customer_segments_view(roles: Roles) -> DataFrame:
         "segment")
 
 
+# The quantiles that ``ltv_quantiles_by_store`` reports.
+LTV_QUANTILES = {"p10": "0.1", "p25": "0.25", "p50": "0.5", "p75": "0.75", "p90": "0.9",
+                 "p99": "0.99"}
+
+
+def ltv_quantiles_by_store(roles: Roles, approximate: bool = False) -> DataFrame:
+    """Quantiles of the LTV of active paying customers, per store they belong to
+    (exact; ``approximate`` takes values of nearby rank in one aggregate)."""
+    locate = approx_quantiles if approximate else grouped_quantiles
+    q = locate(customer_metrics_dec(roles), ["store_id"], "ltv", LTV_QUANTILES)
+    return q.select("store_id", F.col("n").alias("customers"),
+                    *[F.col(c).cast("double").alias(c) for c in LTV_QUANTILES])
+
+
+def running_ltv(roles: Roles) -> DataFrame:
+    """Every payment with its place among its customer's payments, by date and
+    id, and what the customer has paid up to and with it."""
+    p = roles.payment.select("payment_id", "customer_id", "payment_date", "amount")
+    out = running_sum(p, ["customer_id"], ["payment_date", "payment_id"],
+                      {"payment_no": F.lit(1).cast("long"), "running": F.col("amount")})
+    return out.select("payment_id", "customer_id", "payment_date",
+                      money_out("amount").alias("amount"), "payment_no",
+                      money_out("running").alias("running_ltv"))
+
+
+def rental_gaps(roles: Roles) -> DataFrame:
+    """Every rental with its customer's rental before it, by date and id, and
+    the calendar days between the two (NULL for a first rental)."""
+    r = roles.rental.select("rental_id", "customer_id", "rental_date")
+    out = previous_row(r, ["customer_id"], ["rental_date", "rental_id"],
+                       {"previous_rental_id": "rental_id", "_date": "rental_date"})
+    return out.select("rental_id", "customer_id", "rental_date", "previous_rental_id",
+                      F.datediff("rental_date", "_date").cast("long").alias("gap_days"))
+
+
 def payment_ltv_rows(roles: Roles) -> DataFrame:
     """K8: every payment with its customer's LTV and payment count.
 
@@ -191,7 +244,7 @@ def concentration(roles: Roles, top_share: float = 0.2, bottom_share: float = 0.
         F.sum(F.when(F.col("_pos") <= k_top, F.col("ltv"))).alias("_top"),
         F.sum(F.when(F.col("_pos") > F.col("_n_cust") - k_bot, F.col("ltv"))).alias("_bot"),
         F.first("_ltv_all").alias("_ltv_all"), F.first("_max_ltv").alias("_max_ltv"))
-    med = median(m, "ltv", "_med")
+    med = segment_cuts(roles).select(F.col("median_ltv").alias("_med"))
     cat = _title_sales(roles).groupBy("category").agg(F.sum("revenue").alias("rev"))
     cat = small_rank_desc(cat, "rev", "_r")
     cat_tot = cat.agg(

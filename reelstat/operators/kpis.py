@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import daily_rate, money_out, pct, ratio
+from ..plans.bases import rented_copies
 from ..sources.roles import Roles
 from .lateness import _late_base
 
@@ -25,7 +26,7 @@ def kpi_row(roles: Roles, mode: str = "calendar") -> DataFrame:
     late = _late_base(roles, mode).agg(
         F.sum(F.when(over > 0, n).otherwise(0)).alias("_late"), F.sum("n").alias("_returned"),
         F.sum(F.when(over > 0, over * n * rate)).alias("_loss"))
-    moved = roles.rental.select("copy_id").distinct().join(
+    moved = rented_copies(roles).join(
         roles.copy.select("copy_id"), "copy_id").agg(F.count(F.lit(1)).alias("_moved"))
     copies = roles.copy.agg(F.count(F.lit(1)).alias("_copies"))
     one = (pay.crossJoin(freq).crossJoin(late).crossJoin(moved)

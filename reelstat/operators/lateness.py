@@ -18,7 +18,7 @@ from ..functions.ranking import small_rank_desc, with_share
 from ..plans.bases import copy_dim, returned_with_title
 from ..sources.curated import derived
 from ..sources.roles import Roles
-from .customers import customer_metrics_dec, segment_customers
+from .customers import customer_metrics_dec, segment_customers, segment_cuts
 
 # Late-day band labels and their inclusive upper edges.
 BAND_ON_TIME = "00 - on time"
@@ -64,7 +64,8 @@ def customer_lateness(roles: Roles, mode: str = "calendar") -> DataFrame:
 
 
 def segment_lateness_dec(roles: Roles, mode: str = "calendar") -> DataFrame:
-    seg = segment_customers(customer_metrics_dec(roles)).select("customer_id", "segment")
+    seg = segment_customers(customer_metrics_dec(roles), segment_cuts(roles)).select(
+        "customer_id", "segment")
     a = customer_lateness_dec(roles, mode).join(seg, "customer_id")
     return a.groupBy("segment").agg(
         F.count("customer_id").alias("customers"),
@@ -97,9 +98,14 @@ def _late_base(roles: Roles, mode: str) -> DataFrame:
     """Returned rentals per title and days over: title_id, rental_rate,
     rental_duration, over (NULL without a duration), n, n_ids.  Bounded by
     titles x days, written once; the figures over all rentals roll up from it."""
-    return derived(roles, f"late_base_{mode}", lambda: returned_with_title(roles).groupBy(
+    return derived(roles, f"late_base_{mode}", lambda: late_counts(
+        returned_with_title(roles), mode))
+
+
+def late_counts(returned: DataFrame, mode: str = "calendar") -> DataFrame:
+    return returned.groupBy(
         "title_id", "rental_rate", "rental_duration", _over(mode).alias("over")).agg(
-        F.count(F.lit(1)).alias("n"), F.count("rental_id").alias("n_ids")))
+        F.count(F.lit(1)).alias("n"), F.count("rental_id").alias("n_ids"))
 
 
 def late_bands(roles: Roles, mode: str = "calendar") -> DataFrame:

@@ -11,12 +11,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import elapsed_days, pct
 from ..functions.ranking import with_share
 from ..plans.bases import copy_dim
+from ..sources import footers
 from ..sources.roles import Roles
 
 
@@ -24,11 +25,10 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """A1: (table, rows) for every table."""
-    return _union([df.agg(F.count(F.lit(1)).alias("rows"))
-                     .select(F.lit(name).alias("table_name"), "rows")
-                   for name, df in tables.items()])
+def row_counts(spark: SparkSession, base: str, names: Sequence[str]) -> DataFrame:
+    """A1: (table, rows) for every table under ``base``, from Parquet footers."""
+    return spark.createDataFrame([(n, footers.row_count(spark, base, n)) for n in names],
+                                 "table_name string, rows long")
 
 
 def null_profile(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
@@ -132,9 +132,22 @@ RAW_KEYS = {
 }
 
 
-def raw_null_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """A2 over every column of every table (one scan per table)."""
-    return _union([null_profile(df, df.columns, name) for name, df in tables.items()])
+def raw_null_profile(spark: SparkSession, base: str, names: Sequence[str]) -> DataFrame:
+    """A2 over every column of every table under ``base``: from Parquet footers,
+    scanning nested columns only."""
+    found = []  # a row for each column
+    for name in names:
+        rows, nulls = footers.null_counts(spark, base, name)
+        found += [(f"{name}.{c}", n, rows) for c, n in nulls.items()]
+    return spark.createDataFrame(found, "field string, nulls long, _rows long").select(
+        "field", "nulls", pct("nulls", "_rows").cast("double").alias("pct"))
+
+
+def key_ranges(spark: SparkSession, base: str, names: Sequence[str]) -> DataFrame:
+    """Least and largest value of every whole-number column, from Parquet footers."""
+    found = [(f"{name}.{c}", *ends) for name in names
+             for c, ends in footers.ranges(spark, base, name, footers.WHOLE).items()]
+    return spark.createDataFrame(found, "field string, low long, high long")
 
 
 def raw_duplicate_keys(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import avg_money, money_out, ratio
 from ..functions.ranking import rank_desc, small_rank_desc, top_n, with_share
-from ..plans.bases import copy_dim, sales, title_dim
+from ..plans.bases import copy_dim, rented_copies, title_dim
+from ..plans.cube import title_totals
 from ..sources.curated import derived
 from ..sources.roles import Roles
 
@@ -29,10 +30,15 @@ def _title_sales(roles: Roles) -> DataFrame:
 
 
 def _title_sales_plan(roles: Roles) -> DataFrame:
-    return sales(roles).groupBy(
+    return titles_of(title_totals(roles), roles)
+
+
+def titles_of(totals: DataFrame, roles: Roles) -> DataFrame:
+    """Sums per title with the title's terms, a row for each of its categories."""
+    return totals.join(title_dim(roles), "title_id").groupBy(
         "title_id", "title", "category", "rental_rate", "rating").agg(
-        F.count(F.lit(1)).alias("rentals"),
-        F.sum("paid").alias("revenue"),
+        F.sum("rentals").alias("rentals"),
+        F.sum("revenue").alias("revenue"),
         F.sum("n_pay").alias("n_pay"))
 
 
@@ -90,8 +96,7 @@ def title_ranking(roles: Roles) -> DataFrame:
 
 
 def _never_rented_copies(roles: Roles) -> DataFrame:
-    rented = roles.rental.select("copy_id").distinct()
-    return roles.copy.join(rented, "copy_id", "left_anti")
+    return roles.copy.join(rented_copies(roles), "copy_id", "left_anti")
 
 
 def titles_with_idle_copies(roles: Roles) -> DataFrame:
@@ -109,7 +114,7 @@ def unrented_titles(roles: Roles, per_store: bool = False) -> DataFrame:
     """B3b (as the source states it): titles that own copies none of which was
     ever rented.  ``per_store`` asks the same per (copy store, title)."""
     keys = ["store_id", "title_id"] if per_store else ["title_id"]
-    rented = (roles.rental.select("copy_id").distinct()
+    rented = (rented_copies(roles)
               .join(roles.copy, "copy_id").select(*keys))
     owned = roles.copy.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
     none_rented = owned.join(rented, keys, "left_anti")
@@ -137,12 +142,7 @@ def top_titles_per_category(roles: Roles, k: int = 3) -> DataFrame:
 
 def revenue_by_price_tier(roles: Roles) -> DataFrame:
     """Titles, rentals, revenue, ticket, share and rentals per title by base price."""
-    from ..plans.bases import paid_rentals
-    s = paid_rentals(roles).join(copy_dim(roles, with_category=False), "copy_id")
-    per_title = s.groupBy("rental_rate", "title_id").agg(
-        F.count(F.lit(1)).alias("rentals"),
-        F.sum("paid").alias("revenue"),
-        F.sum("n_pay").alias("n_pay"))
+    per_title = title_totals(roles).join(roles.title.select("title_id", "rental_rate"), "title_id")
     tier = per_title.groupBy("rental_rate").agg(
         F.count(F.lit(1)).alias("titles"),
         F.sum("rentals").alias("rentals"),

@@ -2,9 +2,9 @@
 
 Two store attributions coexist, as in the source: sales belong to the store
 of the staff member who served the rental; stock belongs to the store that
-owns the copy.  Distinct customers per store/staff are counted in two
-aggregation levels ((store, customer) then store), which keeps every shuffle
-keyed by a high-cardinality pair instead of one hot store key.
+owns the copy.  Sums per store and per staff member come from one stored table
+of visits (staff, customer, month), distinct customers from the stored sets of
+``plans.visits``, which roll up; NULL is no customer.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import dec, mean, month_start, money_out, pct, ratio
 from ..functions.ranking import rank_desc, small_rank_desc, with_share
-from ..plans.bases import copy_dim, paid_rentals, sales, title_dim, with_sale_store
+from ..plans.bases import copy_dim, paid_rentals, rented_copies, title_dim
+from ..plans.cube import rolled_up, sales_cube
+from ..plans.visits import staff_sales, store_sales
 from ..sources.curated import derived
 from ..sources.roles import Roles
 
@@ -24,19 +26,9 @@ UTIL_LABELS_SHORT = ("High", "Moderate", "Low")
 UTIL_HIGH, UTIL_MODERATE = 90, 60
 
 
-def _sales_by_store(roles: Roles) -> DataFrame:
-    pr = with_sale_store(paid_rentals(roles), roles, "store_id")
-    per_cust = pr.groupBy("store_id", "customer_id").agg(
-        F.count(F.lit(1)).alias("rentals"), F.sum("paid").alias("revenue"),
-        F.sum("n_pay").alias("n_pay"))
-    return per_cust.groupBy("store_id").agg(
-        F.count(F.lit(1)).alias("customers"), F.sum("rentals").alias("rentals"),
-        F.sum("revenue").alias("revenue"), F.sum("n_pay").alias("n_pay"))
-
-
 def store_performance(roles: Roles) -> DataFrame:
     """Rentals, customers, revenue, ticket and per-customer figures per store."""
-    g = with_share(_sales_by_store(roles), "revenue", "share_pct", bounded=True)
+    g = with_share(store_sales(roles), "revenue", "share_pct", bounded=True)
     return g.select(
         "store_id", "rentals", "customers",
         money_out("revenue").alias("revenue"),
@@ -48,9 +40,8 @@ def store_performance(roles: Roles) -> DataFrame:
 
 def store_category(roles: Roles) -> DataFrame:
     """Revenue per (sale store, category) with rank inside the store."""
-    s = with_sale_store(sales(roles), roles, "sale_store")
-    g = s.groupBy(F.col("sale_store").alias("store_id"), "category").agg(
-        F.count(F.lit(1)).alias("rentals"), F.sum("paid").alias("revenue"))
+    g = rolled_up(sales_cube(roles).where("served"), "sale_store", "category") \
+        .withColumnRenamed("sale_store", "store_id")
     g = small_rank_desc(g, "revenue", "rank_in_store", ["store_id"])  # stores x categories
     return g.select("store_id", "category", "rentals",
                     money_out("revenue").alias("revenue"), "rank_in_store")
@@ -58,7 +49,7 @@ def store_category(roles: Roles) -> DataFrame:
 
 def _copies_with_use(roles: Roles, with_category: bool = True) -> DataFrame:
     """Every copy with ``_moved`` = 1 if it was rented at least once, else NULL."""
-    rented = roles.rental.select("copy_id").distinct().withColumn("_moved", F.lit(1))
+    rented = rented_copies(roles).withColumn("_moved", F.lit(1))
     base = copy_dim(roles) if with_category else roles.copy
     return base.join(rented, "copy_id", "left")
 
@@ -87,7 +78,7 @@ def stock_utilisation(roles: Roles, short_labels: bool = False) -> DataFrame:
 
 
 def _idle_by_store_title(roles: Roles) -> DataFrame:
-    idle = roles.copy.join(roles.rental.select("copy_id").distinct(), "copy_id", "left_anti")
+    idle = roles.copy.join(rented_copies(roles), "copy_id", "left_anti")
     return idle.join(title_dim(roles), "title_id").groupBy(
         "store_id", "title", "category", "rental_rate", "replacement_cost").agg(
         F.count(F.lit(1)).alias("idle_copies"))
@@ -123,7 +114,7 @@ def _stock_by_store(roles: Roles) -> DataFrame:
 def store_scorecard(roles: Roles, view: bool = False) -> DataFrame:
     """E5 (``view=False``) / V5: sales KPIs by sale store joined (inner) to
     stock KPIs by copy store."""
-    j = _sales_by_store(roles).join(_stock_by_store(roles), "store_id")
+    j = store_sales(roles).join(_stock_by_store(roles), "store_id")
     cols = ["store_id", "rentals", "customers",
             money_out("revenue").alias("revenue"),
             mean("revenue", "n_pay", 2, 2).cast("double").alias("avg_ticket"),
@@ -139,16 +130,12 @@ def store_scorecard(roles: Roles, view: bool = False) -> DataFrame:
 
 def staff_performance(roles: Roles) -> DataFrame:
     """Per staff member with paid rentals: volume, customers,
-    revenue, ticket, share, rank (distributed: staff count grows with data).
-
-    The per-staff aggregate feeds the total, the rank and the output; with
-    curated roles it is written once instead of being recomputed per branch.
-    """
-    per = derived(roles, "staff_sales", lambda: _staff_sales(roles))
+    revenue, ticket, share, rank (distributed: staff count grows with data)."""
     staff = roles.staff.select(
         "staff_id", F.concat("first_name", F.lit(" "), "last_name").alias("staff_name"),
         "store_id")
-    j = per.join(staff, "staff_id")
+    # written: the total, the rank and the output each read it
+    j = derived(roles, "staff_with_sales", lambda: staff_sales(roles).join(staff, "staff_id"))
     j = with_share(j, "revenue", "share_pct")
     j = rank_desc(j, "revenue", "revenue_rank")
     return j.select(
@@ -159,15 +146,6 @@ def staff_performance(roles: Roles) -> DataFrame:
         ratio("revenue", "customers", 2).cast("double").alias("revenue_per_customer"))
 
 
-def _staff_sales(roles: Roles) -> DataFrame:
-    per_cust = paid_rentals(roles).groupBy("staff_id", "customer_id").agg(
-        F.count(F.lit(1)).alias("rentals"), F.sum("paid").alias("revenue"),
-        F.sum("n_pay").alias("n_pay"))
-    return per_cust.groupBy("staff_id").agg(
-        F.count(F.lit(1)).alias("customers"), F.sum("rentals").alias("rentals"),
-        F.sum("revenue").alias("revenue"), F.sum("n_pay").alias("n_pay"))
-
-
 def staff_by_month(roles: Roles) -> DataFrame:
     """Revenue per payment month and staff member, rank inside the month
     (distributed rank partitioned by month)."""
@@ -186,11 +164,8 @@ def staff_by_month(roles: Roles) -> DataFrame:
 
 def price_mix_by_store(roles: Roles) -> DataFrame:
     """Paid rentals per (sale store, base price) and share inside the store."""
-    s = with_sale_store(paid_rentals(roles).join(roles.copy.select("copy_id", "title_id"),
-                                                 "copy_id")
-                        .join(roles.title.select("title_id", "rental_rate"), "title_id"),
-                        roles, "store_id")
-    g = s.groupBy("store_id", "rental_rate").agg(F.count(F.lit(1)).alias("rentals"))
+    g = rolled_up(sales_cube(roles).where("served and titled"), "sale_store", "rental_rate") \
+        .withColumnRenamed("sale_store", "store_id")
     tot = g.groupBy("store_id").agg(F.sum("rentals").alias("_store_rentals"))
     j = g.join(tot, "store_id")  # stores x prices: bounded
     return j.select("store_id", F.col("rental_rate").cast("double").alias("rental_rate"),

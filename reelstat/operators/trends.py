@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.exprs import (WEEKDAY_NAMES, dec, mean, money_out, month_start, nonzero,
                                pct, weekday_name)
 from ..functions.ranking import attach_one_row, small_rank_desc, with_share
-from ..plans.bases import paid_rentals, sales
+from ..plans.cube import rolled_up, sales_cube
+from ..plans.visits import month_customers
+from ..sources.curated import derived
 from ..sources.roles import Roles
 
 # Anomaly labels.
@@ -24,17 +26,25 @@ PEAK, TROUGH, NORMAL = "Peak", "Trough", "Normal"
 
 def monthly_revenue_dec(roles: Roles) -> DataFrame:
     """D1 aggregate: per payment month (payments naming a rental)."""
+    return derived(roles, "month_sales", lambda: _month_sales(roles))
+
+
+def _month_sales(roles: Roles) -> DataFrame:
     p = roles.named_payments.withColumn("month", month_start("payment_date"))
-    # two counts of distinct values in two levels each: no row is multiplied
+    # rentals are counted in two levels, customers from their sets
     by_rental = p.groupBy("rental_id", "month").agg(
         F.count(F.lit(1)).alias("payments"), F.sum("amount").alias("revenue"))
     by_month = by_rental.groupBy("month").agg(
         F.sum("payments").alias("payments"), F.count(F.lit(1)).alias("rentals"),
         F.sum("revenue").alias("revenue"))
-    by_customer = p.select("month", "customer_id").distinct()
-    customers = by_customer.groupBy(F.col("month").alias("_month")).agg(
-        F.count("customer_id").alias("customers"))
-    return by_month.join(customers, F.col("month").eqNullSafe(F.col("_month"))).drop("_month")
+    return with_customers(by_month, month_customers(roles))
+
+
+def with_customers(by_month: DataFrame, customers: DataFrame) -> DataFrame:
+    customers = customers.withColumnRenamed("month", "_month")
+    return by_month.join(customers, F.col("month").eqNullSafe(F.col("_month")), "left").select(
+        "month", "payments", "rentals", "revenue",
+        F.coalesce("customers", F.lit(0)).alias("customers"))
 
 
 def monthly_revenue(roles: Roles, month_as_text: bool = True,
@@ -102,7 +112,7 @@ def rental_daily_anomalies(roles: Roles, k: int = 2) -> DataFrame:
 
 
 def weekday_label() -> Column:
-    d = F.dayofweek("rental_date")
+    d = F.col("weekday_no")
     e = F.when(d == 1, f"1 - {WEEKDAY_NAMES[0]}")
     for i, name in enumerate(WEEKDAY_NAMES[1:], start=2):
         e = e.when(d == i, f"{i} - {name}")
@@ -111,11 +121,8 @@ def weekday_label() -> Column:
 
 def weekday_profile(roles: Roles) -> DataFrame:
     """D3: paid rentals per weekday (one per payment), mean ticket, share."""
-    g = paid_rentals(roles).groupBy(
-        F.dayofweek("rental_date").cast("long").alias("weekday_no"),
-        weekday_label().alias("weekday")).agg(
-        F.sum("n_pay").alias("rentals"),
-        F.sum("paid").alias("revenue"))
+    g = rolled_up(sales_cube(roles), "weekday_no").select(
+        "weekday_no", weekday_label().alias("weekday"), F.col("n_pay").alias("rentals"), "revenue")
     g = with_share(g, "rentals", "pct", bounded=True)
     return g.select("weekday_no", "weekday", "rentals",
                     mean("revenue", "rentals", 2, 2).cast("double").alias("avg_ticket"),
@@ -124,9 +131,8 @@ def weekday_profile(roles: Roles) -> DataFrame:
 
 def category_by_month(roles: Roles) -> DataFrame:
     """Revenue per payment month and category, rank inside the month."""
-    s = sales(roles, by=[month_start("payment_date").alias("month")])
-    g = s.groupBy("month", "category").agg(
-        F.count(F.lit(1)).alias("rentals"), F.sum("paid").alias("revenue"))
+    g = rolled_up(sales_cube(roles), "month", "category").select(
+        "month", "category", F.col("month_rentals").alias("rentals"), "revenue")
     # months x categories: calendar- and vocabulary-bounded.
     g = small_rank_desc(g, "revenue", "rank_in_month", ["month"])
     return g.select(F.date_format("month", "yyyy-MM-dd").alias("month"), "category",

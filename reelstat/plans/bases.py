@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.curated import derived
 from ..sources.roles import Roles
 
 
@@ -64,6 +65,11 @@ def with_sale_store(df: DataFrame, roles: Roles, name: str = "sale_store") -> Da
     return df.join(staff, "staff_id")
 
 
+def rented_copies(roles: Roles) -> DataFrame:
+    """The ids of the copies that were rented at least once."""
+    return derived(roles, "rented_copies", lambda: roles.rental.select("copy_id").distinct())
+
+
 def returned_with_title(roles: Roles, with_category: bool = False) -> DataFrame:
     """Returned rentals (return_date known) with the rented title's terms."""
     r = roles.rental.where(F.col("return_date").isNotNull())

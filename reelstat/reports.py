@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import customers, kpis, lateness, quality, revenue, roadmap, stores, trends
+from .operators import attribution, customers, kpis, lateness, quality, revenue, roadmap, stores, trends
 from .plans import views
 from .sources.curated import curated_roles
 from .sources.fixture import role_from_test_tables
@@ -77,6 +77,7 @@ ROLE_REPORTS: dict[str, RoleReport] = {
     "q_cohort_retention": roadmap.cohort_retention,
     "q_price_elasticity": roadmap.price_elasticity,
     "q_length_lateness": roadmap.length_lateness,
+    "q_revenue_by_actor": attribution.revenue_by_actor,
     "q_monthly_revenue_calendar": lambda r: trends.monthly_revenue(r, calendar=True).select(
         "month", "revenue", "delta", "growth_pct"),
     # V -- published views
@@ -93,6 +94,9 @@ ROLE_REPORTS: dict[str, RoleReport] = {
     "q_lateness_rows": lateness.lateness_rows,
     "q_customer_window_totals": customers.payment_ltv_rows,
     "q_customer_rental_frequency": customers.rental_frequency_rows,
+    "q_customer_running_ltv": customers.running_ltv,
+    "q_rental_gaps": customers.rental_gaps,
+    "q_ltv_quantiles_by_store": customers.ltv_quantiles_by_store,
     "q_revenue_per_copy": revenue.revenue_per_copy,
     "q_concentration": customers.concentration,
     "q_late_rate_gap": lateness.late_rate_gap,
@@ -102,10 +106,11 @@ ROLE_REPORTS: dict[str, RoleReport] = {
 
 # Reports that read raw tables or the catalogue: name -> function(spark, base).
 TABLE_REPORTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "q_row_counts": lambda spark, base: quality.row_counts(read_tables(spark, base)),
+    "q_row_counts": lambda spark, base: quality.row_counts(spark, base, TEST_TABLES),
+    "q_key_ranges": lambda spark, base: quality.key_ranges(spark, base, TEST_TABLES),
     "q_view_inventory": lambda spark, base: views.view_inventory(spark, roles_for(spark, base)),
     # audit operators applied to the raw tables themselves
-    "q_null_profile_raw": lambda spark, base: quality.raw_null_profile(read_tables(spark, base)),
+    "q_null_profile_raw": lambda spark, base: quality.raw_null_profile(spark, base, TEST_TABLES),
     "q_duplicate_keys_raw": lambda spark, base: quality.raw_duplicate_keys(
         read_tables(spark, base)),
     "q_orders_by_month": lambda spark, base: quality.rows_by_month(
@@ -155,9 +160,11 @@ ORDER: dict[str, tuple[str, ...]] = {
     "q_v_monthly_trend": ("month",),
     "q_v_store_scorecard": ("store_id",),
     "q_v_fee_loss": ("loss_rank",),
+    "q_ltv_quantiles_by_store": ("store_id",),
 }
 # Row-level reports are sorted only when asked: that is a full shuffle.
 LONG_ORDER: dict[str, tuple[str, ...]] = {
+    "q_revenue_by_actor": ("-split_revenue", "actor_id"),
     "q_customer_metrics": ("-ltv", "customer_id"),
     "q_v_customer_segments": ("ltv_rank", "customer_id"),
     "q_v_title_ranking": ("rank_all", "title_id"),

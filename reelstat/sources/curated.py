@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .roles import Roles
 from .schemas import ROLE_NAMES
+from .tables import data_files, table_path
 
 BUCKET_KEY = "rental_id"
 MATERIALIZE_CONF = "reelstat.materializeRoles"
@@ -37,14 +38,8 @@ def _fingerprint(spark: SparkSession, base: str, names) -> str:
     """Identity of the input: path plus size and time of every file, asked of
     the file system that the path names."""
     h = hashlib.sha1(base.encode())
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for n in names:
-        path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{n}.parquet")
-        files, found = path.getFileSystem(conf).listFiles(path, True), []
-        while files.hasNext():
-            f = files.next()
-            found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
-        h.update("\n".join(sorted(found)).encode())
+        h.update(repr(data_files(spark, table_path(base, n))).encode())
     return h.hexdigest()[:16]
 
 
@@ -101,15 +96,16 @@ class CuratedRoles:
         return {r: getattr(self, r) for r in ROLE_NAMES}
 
 
-def derived(roles: Roles | CuratedRoles, name: str, build) -> DataFrame:
+def derived(roles, name: str, build) -> DataFrame:
     """A table derived from curated roles, written once next to them.
 
     Reports that reuse one intermediate several times in a plan (the
     per-customer metrics feed medians, ranks and totals) read it from a
-    written table instead of recomputing it per branch.  Lazy roles (hand
-    fixtures, ``materializeRoles=false``) just get ``build()``.
+    written table instead of recomputing it per branch.  Roles that keep tables
+    have a ``table`` method; lazy ones (hand fixtures, ``materializeRoles=false``)
+    just get ``build()``.
     """
-    if isinstance(roles, CuratedRoles):
+    if not isinstance(roles, Roles):
         return roles.table(f"derived/{name}", build)
     return build()
 

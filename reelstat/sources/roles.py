@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schemas import OPTIONAL, ROLE_SCHEMAS
+from .schemas import OPTIONAL, OPTIONAL_ROLES, ROLE_SCHEMAS
 
 
 @dataclass(frozen=True)
@@ -21,6 +22,8 @@ class Roles:
     customer: DataFrame
     staff: DataFrame
     store: DataFrame
+    actor: DataFrame | None = None
+    title_actor: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -32,7 +35,8 @@ class Roles:
         return self.payment.where(F.col("rental_id").isNotNull())
 
     def as_dict(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {f.name: getattr(self, f.name) for f in fields(self)
+                if getattr(self, f.name) is not None}
 
 
 def conform(df: DataFrame, role: str) -> DataFrame:
@@ -48,8 +52,15 @@ def conform(df: DataFrame, role: str) -> DataFrame:
         for f in schema.fields])
 
 
-def roles_from_parquet(spark: SparkSession, base: str) -> Roles:
-    """Roles stored one Parquet dataset per role name (``<base>/<role>``)."""
+def roles_from_parquet(spark: SparkSession, base: str, without: Sequence[str] = ()) -> Roles:
+    """Roles stored one Parquet dataset per role name (``<base>/<role>``); those
+    of ``without`` are empty, and their files not looked at."""
     base = base.rstrip("/")
-    return Roles(**{r: conform(spark.read.parquet(f"{base}/{r}"), r)
-                    for r in ROLE_SCHEMAS})
+
+    def there(role: str) -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{role}")
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    return Roles(**{r: spark.createDataFrame([], ROLE_SCHEMAS[r]) if r in without
+                    else conform(spark.read.parquet(f"{base}/{r}"), r)
+                    for r in ROLE_SCHEMAS if r not in OPTIONAL_ROLES or there(r)})

@@ -42,6 +42,21 @@ def table_path(base: str, name: str) -> str:
     return f"{base.rstrip('/')}/{name}.parquet"
 
 
+def data_files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, size, time) of the files of a dataset, in order, asked of the file
+    system that ``path`` names; none if there is no such path."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    files, found = system.listFiles(folder, True), []
+    while files.hasNext():
+        f = files.next()
+        if not f.getPath().getName().startswith(("_", ".")):
+            found.append((str(f.getPath()), f.getLen(), f.getModificationTime()))
+    return sorted(found)
+
+
 def check_schema(df: DataFrame, name: str) -> DataFrame:
     """``df`` if it has the declared columns with their types; types that have
     drifted would otherwise pass silently through the decimal casts.  Further
