@@ -53,8 +53,18 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     meets the operator's own columns.
     """
     ship_package(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                       F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return docs.select(*id_text_columns(id_col, text_col))
+
+
+def id_text_columns(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    return [F.col(id_col).cast("long").alias("doc_id"),
+            F.coalesce(F.col(text_col), F.lit("")).alias("text")]
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits that name a row by its id and text (rows alike share them)."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"),
+                          text).cast("binary"))
 
 
 def lower_ascii(text: Column) -> Column:

@@ -17,7 +17,8 @@ Defined results: a NULL text equals an empty one; of equal texts the row with
 the largest id stays (a NULL id is smaller than any other; if all ids of a
 group are NULL, ``keep_id`` is NULL); rows repeated with id and text count each
 in ``group_size``, all carry the same ``keep_id``, and ``deduplicate`` leaves
-one of them.  An empty table gives an empty result.
+one of them.  An empty table gives an empty result.  Columns of any name pass
+``deduplicate`` untouched.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, written
+from . import positions
+from .common import id_text, id_text_columns, written
 
 PREFIX_CHARS = 256
 
@@ -42,11 +44,9 @@ def full_hash(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """Groups of two or more equal texts: text_sha256, keep_id, group_size and
-    keep_rows (rows that bear text and ``keep_id``; 1 unless a row is repeated)."""
-    base = id_text(docs, id_col, text_col)
+def _hashed(base: DataFrame, prefix_chars: int) -> DataFrame:
+    """The rows of ``base`` whose length and prefix occur again, with text_sha256
+    in place of the text."""
     lengths = written(
         base.groupBy(_length().alias("n_bytes")).count().filter("count > 1").select("n_bytes"),
         "lengths")
@@ -57,26 +57,26 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             .select("n_bytes", "prefix_hash"), "prefixes")
     # Written before it is grouped: a join that feeds no further shuffle-bound
     # step may be split by adaptive execution when one pair is hot.
-    hashed = written(
-        base.select("doc_id", "text", _length().alias("n_bytes"),
-                    _prefix(prefix_chars).alias("prefix_hash"))
+    return written(
+        base.select("*", _length().alias("n_bytes"), _prefix(prefix_chars).alias("prefix_hash"))
             .join(pairs, ["n_bytes", "prefix_hash"], "left_semi")
-            .select("doc_id", full_hash(F.col("text")).alias("text_sha256")), "hashed")
+            .withColumn("text_sha256", full_hash(F.col("text")))
+            .drop("text", "n_bytes", "prefix_hash"), "hashed")
+
+
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """Groups of two or more equal texts: text_sha256, keep_id, group_size."""
     return written(
-        hashed.groupBy("text_sha256", "doc_id").agg(F.count("*").alias("rows"))
-              .groupBy("text_sha256")
-              .agg(F.max(F.struct("doc_id", "rows")).alias("last"),
-                   F.sum("rows").alias("group_size"))
-              .filter("group_size > 1")
-              .select("text_sha256", F.col("last.doc_id").alias("keep_id"), "group_size",
-                      F.col("last.rows").alias("keep_rows")), "groups")
+        _hashed(id_text(docs, id_col, text_col), prefix_chars).groupBy("text_sha256")
+        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        .filter("group_size > 1"), "groups")
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """Every row: doc_id, keep_id, group_size, kept, text_sha256."""
-    groups = duplicate_groups(docs, id_col, text_col, prefix_chars) \
-        .select("text_sha256", "keep_id", "group_size")
+    groups = duplicate_groups(docs, id_col, text_col, prefix_chars)
     rows = id_text(docs, id_col, text_col) \
         .select("doc_id", full_hash(F.col("text")).alias("text_sha256"))
     return (rows.join(groups, "text_sha256", "left")
@@ -92,20 +92,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """The rows that stay, with all their columns.
 
-    Rows outside a group pass untouched.  Of a group, the rows bearing
-    ``keep_id`` are taken, and one of those if the row itself is repeated.
+    Of a group the row with the largest id stays, of several with that id the
+    one that stands last.  Texts are not moved: the places of the rows that go
+    are looked up where the texts are read (``positions``).
     """
-    groups = duplicate_groups(docs, id_col, text_col, prefix_chars)
-    key, keep = "__text_sha256", "__keep_id"
-    found = groups.select(F.col("text_sha256").alias(key), F.col("keep_id").alias(keep),
-                          F.col("keep_rows").alias("__keep_rows"))
-    tagged = docs.withColumn(
-        key, full_hash(F.coalesce(F.col(text_col), F.lit("")))).join(found, key, "left")
-    is_keeper = F.col(id_col).cast("long").eqNullSafe(F.col(keep))
-    once = tagged.filter(F.col("__keep_rows").isNull()
-                         | ((F.col("__keep_rows") == 1) & is_keeper))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    if groups.filter("keep_rows > 1").isEmpty():
-        return once.select(*columns)
-    repeated = tagged.filter((F.col("__keep_rows") > 1) & is_keeper).dropDuplicates([key])
-    return once.unionByName(repeated).select(*columns)
+    docs = positions.located(docs)
+    rows = _hashed(positions.with_place(docs, *id_text_columns(id_col, text_col)), prefix_chars)
+    place = [F.col(positions.FILE), F.col(positions.ROW)]
+    last = written(rows.groupBy("text_sha256").agg(
+        F.max(F.struct("doc_id", *place)).alias("last"), F.count("*").alias("n"))
+        .filter("n > 1").select("text_sha256", "last"), "last")
+    gone = rows.join(last, "text_sha256").filter(
+        (F.col(positions.FILE) != F.col("last")[positions.FILE])
+        | (F.col(positions.ROW) != F.col("last")[positions.ROW]))
+    return positions.chosen(docs, gone.select(*place), keep=False)

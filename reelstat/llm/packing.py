@@ -35,9 +35,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_text, slices, written
+from . import positions
+from .common import id_text_columns, ship_package, slices, written
 from .subwords import ID_TYPE, word_encoder
 
+#: What names a row of the documents.
+PLACE = [positions.FILE, positions.ROW]
 CAPACITY = 4096
 END_ID = 2
 
@@ -169,8 +172,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, may_cut: bool = Tr
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
            id_col: str = "doc_id", text_col: str = "text",
            added_tokens: bool = False) -> DataFrame:
-    """Whole windows and remainders of every document: doc_id, text_hash, start,
-    length, doc_tokens, ids (binary, little-endian unsigned 32-bit)."""
+    """Whole windows and remainders of every document of located ``docs``: doc_id,
+    file, row, start, length, doc_tokens, ids (binary, little-endian unsigned
+    32-bit)."""
     def run(batches):
         encoder = word_encoder(tokenizer_path, drops_space=True, added_tokens=added_tokens)
         end = np.array([end_id], ID_TYPE)
@@ -185,14 +189,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                         sizes.append(len(text))
                         parts.append(text[start:start + capacity].tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [rows["doc_id"].take(pa.array(texts)), rows["text_hash"].take(pa.array(texts)),
+                    [*[rows[c].take(pa.array(texts)) for c in ("doc_id", *PLACE)],
                      pa.array(starts, pa.int64()),
                      pa.array([len(p) // ID_TYPE.itemsize for p in parts], pa.int64()),
                      pa.array(sizes, pa.int64()), pa.array(parts, pa.binary())],
-                    ["doc_id", "text_hash", "start", "length", "doc_tokens", "ids"])
+                    ["doc_id", *PLACE, "start", "length", "doc_tokens", "ids"])
 
-    return id_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text")).mapInArrow(
-        run, "doc_id long, text_hash long, start long, length long, doc_tokens long, ids binary")
+    ship_package(docs.sparkSession)
+    return positions.with_place(docs, *id_text_columns(id_col, text_col)).mapInArrow(
+        run, "doc_id long, file string, row long, start long, length long, doc_tokens long, "
+             "ids binary")
 
 
 def ranked(table: DataFrame, order: list[str]) -> DataFrame:
@@ -251,14 +257,14 @@ def pack(table: DataFrame, order: list[str], capacity: int = CAPACITY,
     return rows.mapInArrow(run, schema).drop("rank")
 
 
-PLACED = ["doc_id", "text_hash", "start", "length", "doc_tokens", "sequence_id", "offset"]
+PLACED = ["doc_id", *PLACE, "start", "length", "doc_tokens", "sequence_id", "offset"]
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                    end_id: int = END_ID, id_col: str = "doc_id",
                    text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Where every id of every document goes: a row for each piece, with
-    doc_id, text_hash, start, length, doc_tokens, sequence_id, offset and
+    doc_id, file, row, start, length, doc_tokens, sequence_id, offset and
     ids_crc32 (of the piece's ids as little-endian unsigned 32-bit).
 
     Texts are encoded once, and what is kept of a piece is a narrow row.  The
@@ -268,9 +274,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     Defined results: NULL and empty texts are the end id alone; repeated rows
     are packed each; an empty table gives an empty result.
     """
+    docs = positions.located(docs)
     table = written(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, added_tokens)
                     .withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
-    placed = written(pack(table, ["doc_id", "text_hash", "start"], capacity), "placed")
+    placed = written(pack(table, ["doc_id", *PLACE, "start"], capacity), "placed")
     whole = placed.filter("placed = length")
     parts = (placed.filter("placed < length")
                    .withColumn("start", F.col("start") + F.col("cut"))
@@ -284,13 +291,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
 def with_ids(placed: DataFrame, docs: DataFrame, tokenizer_path: str, end_id: int = END_ID,
              id_col: str = "doc_id", text_col: str = "text",
              added_tokens: bool = False) -> DataFrame:
-    """Placed pieces with their ids (binary, little-endian unsigned 32-bit).
+    """Placed pieces of located ``docs`` with their ids (binary, little-endian
+    unsigned 32-bit).
 
-    Pieces of one text are gathered (a text's own pieces, never a group of
-    texts) and met with one of the rows that hold it."""
-    wanted = placed.select(F.xxhash64("doc_id", "text_hash").alias("key"),
-                           F.struct(*PLACED).alias("piece"))
-    schema = "piece struct<" + ", ".join(f"{c}: bigint" for c in PLACED) + ">, ids binary"
+    Only the rows that the pieces are of are read again, by their places; a row's
+    own pieces are gathered and met with it."""
+    wanted = placed.select(*PLACE, F.struct(*PLACED).alias("piece"))
+    schema = T.StructType([T.StructField("piece", wanted.schema["piece"].dataType),
+                           T.StructField("ids", T.BinaryType())])
 
     def run(batches):
         encoder = word_encoder(tokenizer_path, drops_space=True, added_tokens=added_tokens)
@@ -304,9 +312,8 @@ def with_ids(placed: DataFrame, docs: DataFrame, tokenizer_path: str, end_id: in
                     [found, pa.array([ids[a:b].tobytes() for a, b in spans], pa.binary())],
                     ["piece", "ids"])
 
-    gathered = wanted.groupBy("key").agg(F.collect_list("piece").alias("found"))
-    texts = (id_text(docs, id_col, text_col)
-             .select(F.xxhash64("doc_id", F.xxhash64("text")).alias("key"), "text")
-             .join(gathered, "key")
-             .groupBy("key").agg(F.first("text").alias("text"), F.first("found").alias("found")))
-    return texts.select("text", "found").mapInArrow(run, schema).select("piece.*", "ids")
+    gathered = written(wanted.groupBy(*PLACE).agg(F.collect_list("piece").alias("found")), "cut")
+    texts = positions.chosen(docs, gathered.select(*PLACE), keep=True,
+                             columns=id_text_columns(id_col, text_col))
+    return texts.join(gathered, PLACE).select("text", "found").mapInArrow(run, schema) \
+        .select("piece.*", "ids")

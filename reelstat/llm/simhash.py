@@ -24,7 +24,7 @@ shards together grow with the corpus, and no shard needs another one's tree.
 Defined results: NULL and empty texts have fingerprint zero and link like any
 other; a component is named by its smallest id; a NULL id is no name while there
 is another one; repeated rows each give a row.  An empty table gives an empty
-result.
+result.  Columns of any name pass ``deduplicate`` untouched.
 """
 
 from __future__ import annotations
@@ -34,8 +34,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import id_text, written
+from . import positions
+from .common import id_text, id_text_columns, ship_package, written
 from .components import smallest_reachable
 
 SHINGLE = 3
@@ -137,18 +139,19 @@ def shard_keys(values: np.ndarray, radius: int) -> np.ndarray:
     return np.stack(keys, axis=1).astype(np.int64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, fp (signed 64-bit integer)."""
+def fingerprints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``rows`` with fp (signed 64-bit integer) in place of their text."""
+    others = [c for c in rows.columns if c != "text"]
+
     def run(batches):
         for batch in batches:
             values = [fingerprint(t.as_py(), shingle) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["text_hash"], pa.array(values, pa.int64())],
-                ["doc_id", "text_hash", "fp"])
+                [*[batch[c] for c in others], pa.array(values, pa.int64())], [*others, "fp"])
 
-    return id_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text")) \
-        .mapInArrow(run, "doc_id long, text_hash long, fp long")
+    ship_package(rows.sparkSession)
+    return rows.mapInArrow(run, T.StructType(
+        [*[rows.schema[c] for c in others], T.StructField("fp", T.LongType())]))
 
 
 def links(values: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
@@ -190,26 +193,24 @@ def links(values: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
     return shards.mapInArrow(linked, "a long, b long")
 
 
-def _grouped(docs: DataFrame, shingle: int, radius: int, id_col: str,
-             text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, text_hash, fp), roots (fp, root) and the first row of each
-    root: the smallest id, NULL last, then the smallest text hash."""
-    rows = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "n"))
-    distinct = written(rows.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-                           .groupBy("fp").agg(first.alias("first")), "distinct")
+def _grouped(rows: DataFrame, name: list[str], radius: int) -> tuple[DataFrame, DataFrame]:
+    """Roots (fp, root) of the fingerprints of ``rows``, and of each root the
+    first row by ``name``: the smallest id, NULL last."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *name)).alias("first")
+    distinct = written(rows.groupBy("fp").agg(first), "distinct")
     reached = smallest_reachable(links(distinct.select("fp"), radius)) \
         .withColumnRenamed("node", "fp")
     roots = written(distinct.join(reached, "fp", "left")
                             .select("fp", F.coalesce("root", "fp").alias("root"), "first"), "roots")
     names = written(roots.groupBy("root").agg(F.min("first").alias("first")), "names")
-    return rows, roots.select("fp", "root"), names
+    return roots.select("fp", "root"), names
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row: doc_id, fp, component_id (smallest id reachable)."""
-    rows, roots, names = _grouped(docs, shingle, radius, id_col, text_col)
+    rows = written(fingerprints(id_text(docs, id_col, text_col), shingle), "fingerprints")
+    roots, names = _grouped(rows, ["doc_id"], radius)
     by_fp = written(roots.join(names, "root")
                          .select("fp", F.col("first.doc_id").alias("component_id")), "components")
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
@@ -218,15 +219,11 @@ def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with all its columns: the one with the
-    smallest id (of rows that share it, one)."""
-    _, _, names = _grouped(docs, shingle, radius, id_col, text_col)
-    keep = written(names.select(F.xxhash64("first.doc_id", "first.text_hash").alias("__row"),
-                                "first.n"), "keep")
-    tagged = docs.withColumn("__row", F.xxhash64(
-        F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = tagged.join(keep.filter("n = 1"), "__row", "left_semi").select(*columns)
-    if keep.filter("n > 1").isEmpty():
-        return once
-    repeated = tagged.join(keep.filter("n > 1"), "__row", "left_semi").dropDuplicates(["__row"])
-    return once.unionByName(repeated.select(*columns))
+    smallest id (of rows that share it, the one that stands first).  Texts are
+    not moved: the places of the rows that stay are looked up where the texts are
+    read (``positions``)."""
+    docs = positions.located(docs)
+    rows = written(fingerprints(positions.with_place(
+        docs, *id_text_columns(id_col, text_col)), shingle), "fingerprints")
+    _, names = _grouped(rows, ["doc_id", positions.FILE, positions.ROW], radius)
+    return positions.chosen(docs, names.select("first.*"), keep=True)
