@@ -9,6 +9,12 @@ before kept, read back from Parquet.  All stages but the last return rows of
 3. simhash_dedup: of each group linked by fingerprints at most three bits
    apart, the row with the smallest id stays.
 4. packing: what is left, as pieces of token sequences.
+
+Defined results: NULL texts are read as empty ones, which are scored, equal and
+near each other like any text, and pack as an end token; a NULL id is smaller
+than any other for stage 2 and comes last in stage 3; of rows repeated with id
+and text one stays; columns of any name pass the first three stages untouched;
+empty tables give empty results.
 """
 
 from __future__ import annotations
