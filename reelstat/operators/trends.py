@@ -84,11 +84,20 @@ def daily_anomalies(df: DataFrame, ts: str, k: int = 2, id_col: str | None = Non
     n - mean > k*sigma  <=>  N*n - S1 > 0 and (N*n - S1)^2 > k^2 (N*S2 - S1^2).
     z = (N*n - S1) / sqrt(N*S2 - S1^2), NULL when every day has the same count.
     """
+    return label_days(count_days(df, ts, id_col), k)
+
+
+def count_days(df: DataFrame, ts: str, id_col: str | None = None) -> DataFrame:
+    """Rows per day of ``ts``: as many rows as the calendar has days."""
     counted = F.count(id_col) if id_col else F.count(F.lit(1))
-    days = df.groupBy(F.to_date(ts).cast("timestamp_ntz").alias("day"),
+    return df.groupBy(F.to_date(ts).cast("timestamp_ntz").alias("day"),
                       weekday_name(ts).alias("weekday"),
                       F.dayofweek(ts).cast("long").alias("weekday_no")).agg(
         counted.alias("n"))
+
+
+def label_days(days: DataFrame, k: int = 2) -> DataFrame:
+    """``daily_anomalies`` from the counts per day (read twice)."""
     stats = days.agg(F.count(F.lit(1)).alias("_days"),
                      F.sum("n").alias("_s1"),
                      F.sum(dec("n", 38, 0) * dec("n", 38, 0)).alias("_s2"))
@@ -108,7 +117,9 @@ def daily_anomalies(df: DataFrame, ts: str, k: int = 2, id_col: str | None = Non
 
 
 def rental_daily_anomalies(roles: Roles, k: int = 2) -> DataFrame:
-    return daily_anomalies(roles.rental, "rental_date", k, id_col="rental_id")
+    days = derived(roles, "rental_days",
+                   lambda: count_days(roles.rental, "rental_date", "rental_id"))
+    return label_days(days, k)
 
 
 def weekday_label() -> Column:
