@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .exprs import pct
-from .quantiles import FEW, grouped_quantiles
+from .quantiles import BINS, FEW, grouped_quantiles
 
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -136,11 +136,14 @@ def median_of_counts(df: DataFrame, value: str, name: str = "median") -> DataFra
     return df.agg(F.percentile(F.col(value), F.lit(0.5)).alias(name))
 
 
-def median(df: DataFrame, value: str, name: str = "median", few: int = FEW) -> DataFrame:
+def median(df: DataFrame, value: str, name: str = "median", buckets: int = BINS,
+           few: int = FEW) -> DataFrame:
     """One-row frame with the exact median of ``value`` (NULLs ignored; NULL if
     there is none).
 
     Even counts average the two middle values (PERCENTILE_CONT(0.5)), with one
     decimal more than the values have.  Never sorts the column in one task.
+    ``few`` and ``buckets``: as for ``quantiles.grouped_quantiles``.
     """
-    return grouped_quantiles(df, [], value, {name: "0.5"}, few).agg(F.max(name).alias(name))
+    return grouped_quantiles(df, [], value, {name: "0.5"}, few, buckets).agg(
+        F.max(name).alias(name))

@@ -92,19 +92,24 @@ def top_customers(roles: Roles, n: int = 20) -> DataFrame:
         pct("ltv", "_ltv_total").cast("double").alias("share_pct"))
 
 
-def segment_cuts(roles: Roles) -> DataFrame:
-    """One row: the medians of LTV and of rentals over the active customers.
+def medians_of(m: DataFrame) -> DataFrame:
+    """One row: the medians of LTV and of rentals.
 
     LTV has up to one distinct value per customer: distributed exact median.
     Rental counts have at most sqrt(2N) distinct values: exact percentile."""
-    m = customer_metrics_dec(roles)
-    return derived(roles, "segment_cuts", lambda: median(m, "ltv", "median_ltv").crossJoin(
-        median_of_counts(m, "rentals", "median_rentals")))  # one row x one row
+    return median(m, "ltv", "median_ltv").crossJoin(
+        median_of_counts(m, "rentals", "median_rentals"))  # one row x one row
+
+
+def segment_cuts(roles: Roles) -> DataFrame:
+    """The medians over the active customers, kept beside their metrics."""
+    return derived(roles, "segment_cuts", lambda: medians_of(customer_metrics_dec(roles)))
 
 
-def segment_customers(m: DataFrame, cuts: DataFrame) -> DataFrame:
-    """C3 row level: add ``segment`` from the exact medians of LTV and rentals."""
-    s = attach_one_row(m, cuts)
+def segment_customers(m: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
+    """C3 row level: add ``segment`` from the exact medians of LTV and rentals
+    (``cuts``, by default those of ``m``)."""
+    s = attach_one_row(m, medians_of(m) if cuts is None else cuts)
     hi_v = F.col("ltv") >= F.col("median_ltv")
     hi_f = F.col("rentals") >= F.col("median_rentals")
     seg = (F.when(hi_v & hi_f, CHAMPIONS)

@@ -53,7 +53,7 @@ def test_two_keys_and_clashing_names(spark):
 def test_median_keeps_the_scale(spark):
     df = spark.createDataFrame([(D("1.0049"),), (D("2.0049"),)], "v decimal(10,4)")
     for few in (0, 10):
-        assert median(df, "v", "m", few).first()["m"] == D("1.5049")
+        assert median(df, "v", "m", few=few).first()["m"] == D("1.5049")
     empty = median(df.where("v is null"), "v", "m")
     assert [r["m"] for r in empty.collect()] == [None]
     assert median(spark.range(4), "id").first()[0] == D("1.5")
