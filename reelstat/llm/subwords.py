@@ -5,8 +5,11 @@ over and over.  No pre-token of these tokenizers contains a space that stands
 between two visible characters (it only begins with it), so a text may be cut
 at those spaces, each distinct word encoded once by the library's own
 pre-tokenizer and BPE model, and the text's ids put together from those.  Arrow
-splits the texts of a batch and numbers their distinct words, so each is looked
-at once a batch.  Pre-tokens already met are kept in two generations of at most
+splits the texts of a slice and looks their words up in a table that a worker
+keeps from slice to slice, so only words that are new to it pass through Python;
+a text's ids are gathered from the table's in one go.  When the table has more
+than ``MAX_WORDS`` words or ``MAX_WORD_BYTES``, the words of the last slice are
+kept.  Pre-tokens already met are kept in two generations of at most
 ``max_pieces``: when the young one is full it becomes the old one, and those met
 again move up.
 """
@@ -33,9 +36,10 @@ _LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 _PLAIN = re.compile(rf"[{_LETTERS}{_SIGNS}](?:[{_LETTERS}{_SIGNS}]|\n(?!\s))*")
 _PARTS = re.compile(rf"[{_LETTERS}]+|[{_SIGNS}]+|\n")
 
-MAX_PIECES = 150_000
+MAX_PIECES = 80_000
 MAX_PIECE_CHARS = 64
-SLICE_BYTES = 6_000_000
+MAX_WORDS, MAX_WORD_BYTES = 400_000, 16_000_000
+SLICE_BYTES = 3_000_000
 ID_TYPE = np.dtype("<u4")
 
 
@@ -66,6 +70,38 @@ class _Recent(dict):
         return ids
 
 
+class _Words:
+    """Words and their ids: an Arrow array beside one array of all ids."""
+
+    def __init__(self):
+        self.words = pa.array([], pa.large_string())
+        self.ids, self.sizes = np.zeros(0, ID_TYPE), np.zeros(0, np.int64)
+
+    def add(self, words: pa.Array, ids: list[bytes]) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), ID_TYPE)])
+        self.sizes = np.concatenate([self.sizes, _sizes(ids)])
+
+    def keep(self, used: np.ndarray) -> None:
+        """Forget all but the words numbered ``used``, if there are too many."""
+        if len(self.words) > MAX_WORDS or self.words.nbytes > MAX_WORD_BYTES:
+            self.ids = gathered(self.ids, self.sizes, used)
+            self.words, self.sizes = self.words.take(pa.array(used)), self.sizes[used]
+
+
+def _sizes(ids: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, ids), np.int64, len(ids)) // ID_TYPE.itemsize
+
+
+def gathered(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ids of the words numbered ``at``, in a row; ``ids`` has those of all
+    words, ``sizes`` how many each has."""
+    starts, some = np.cumsum(sizes) - sizes, sizes[at]
+    ends = np.cumsum(some)
+    n = int(ends[-1]) if len(ends) else 0
+    return ids[np.repeat(starts[at] - ends + some, some) + np.arange(n)]
+
+
 class WordEncoder:
     """``tokenizer``: a byte-level tokenizers.Tokenizer.  ``drops_space``: its
     pre-tokenizer removes white space and folds case, so words stand alone;
@@ -95,6 +131,7 @@ class WordEncoder:
             {chr(b): c for b, c in enumerate(byte_characters())})
         self.before = "" if drops_space else byte_characters()[ord(" ")]
         self.pieces = _Recent(self._encode_piece, max_pieces)
+        self.known = _Words()
 
     def _encode_piece(self, piece: str) -> bytes:
         """Ids of one pre-token, written in byte characters."""
@@ -160,19 +197,24 @@ class WordEncoder:
                     rest.append(text)
             texts = pa.array(rest, pa.large_string())
         split = pc.split_pattern(texts.cast(pa.large_string()), " ")
-        words = split.flatten().dictionary_encode()
-        at = words.indices.to_numpy()
-        ends = np.cumsum(pc.list_value_length(split).to_numpy())
+        words, ends = split.flatten(), np.cumsum(pc.list_value_length(split).to_numpy())
+        place = pc.index_in(words, value_set=self.known.words)
+        new = words.filter(pc.is_null(place)).dictionary_encode()
+        at = pc.fill_null(place, -1).to_numpy().astype(np.int64)
+        at[at < 0] = len(self.known.words) + new.indices.to_numpy()
         before = self.before
-        table = [self._encode_word(w, before) for w in words.dictionary.to_pylist()]
+        self.known.add(new.dictionary, [self._encode_word(w, before)
+                                        for w in new.dictionary.to_pylist()])
+        ids, sizes, used = self.known.ids, self.known.sizes, at
         if heads:
             at = at.copy()
-            at[np.concatenate([[0], ends[:-1]])] = len(table) + np.arange(len(heads))
-            table += heads
-        sizes = np.fromiter(map(len, table), np.int64, len(table)) // ID_TYPE.itemsize
+            at[np.concatenate([[0], ends[:-1]])] = len(sizes) + np.arange(len(heads))
+            ids = np.concatenate([ids, np.frombuffer(b"".join(heads), ID_TYPE)])
+            sizes = np.concatenate([sizes, _sizes(heads)])
         placed = np.concatenate([[0], np.cumsum(sizes[at])])
-        ids = b"".join(map(table.__getitem__, at.tolist()))
-        return np.frombuffer(ids, ID_TYPE), placed[ends]
+        out = gathered(ids, sizes, at)
+        self.known.keep(np.unique(used))
+        return out, placed[ends]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_batch(pa.array([text], pa.large_string()))[0]

@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from reelstat.llm import byte_bpe, queries
+from reelstat.llm import byte_bpe, queries, subwords
 from reelstat.llm.subwords import text_slices, word_encoder
 from tests.llm.helpers import rows, text_of
 
@@ -96,3 +96,26 @@ def test_small_tables_forget_and_stay_right():
     big = word_encoder(queries.BYTE_BPE)
     for text in texts(200):
         assert small.encode(text).tolist() == big.encode(text).tolist()
+
+
+def test_table_of_words_is_kept_between_slices_and_bounded(monkeypatch):
+    monkeypatch.setattr(subwords, "MAX_WORDS", 50)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = subwords.WordEncoder(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+    tokenizer.encode_special_tokens = True
+    pick = random.Random(12)
+    for turn in range(30):
+        texts = [" ".join(f"w{pick.randrange(10 + 3 * turn)} naïve\n" for _ in range(40)) + "  x"
+                 for _ in range(5)] + ["", " "]
+        ids, ends = encoder.encode_batch(pa.array(texts, pa.large_string()))
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [part.tolist() for part in np.split(ids, ends[:-1])] == want
+        assert len(encoder.known.words) <= 50 + 130
+        assert len(encoder.known.words) == len(set(encoder.known.words.to_pylist()))
+
+
+def test_gathered():
+    ids = np.array([5, 6, 7, 8, 9], "<u4")
+    sizes = np.array([2, 0, 3])
+    assert subwords.gathered(ids, sizes, np.array([2, 0, 1, 2])).tolist() == [7, 8, 9, 5, 6, 7, 8, 9]
+    assert subwords.gathered(ids, sizes, np.array([], int)).tolist() == []
