@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, lower_ascii, written
+from .common import id_text, lower_ascii, row_key, written
 
 K = 3
 MAX_GAP = 16
@@ -119,22 +119,24 @@ def template_grams(spark: SparkSession, templates: tuple[Template, ...], k: int)
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return id_text(docs, id_col, text_col).select(
-        "doc_id", "text", F.xxhash64("doc_id", F.xxhash64("text")).alias("key"))
+        "doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("key"))
 
 
 def _votes(keyed: DataFrame, templates: tuple[Template, ...], k: int) -> DataFrame:
     """key, template, label, exact, grams, diagonal, votes (bit set)."""
     grams = template_grams(keyed.sparkSession, templates, k)
     w = F.col("words")
-    hashes = F.when(F.size(w) >= k, F.transform(
+    # a row takes its own k words along, not those of the whole text
+    own = F.when(F.size(w) >= k, F.transform(
         F.sequence(F.lit(0), F.size(w) - k),
-        lambda i: F.xxhash64(*[w[i + j] for j in range(k)])))
+        lambda i: F.struct(F.xxhash64(*[w[i + j] for j in range(k)]).alias("hash"),
+                           *[w[i + j].alias(f"w{j}") for j in range(k)])))
     same = F.lit(True)
     for j in range(k):
-        same = same & (w[F.col("position") + j] == F.col("gram")[j])
+        same = same & (F.col("own")[f"w{j}"] == F.col("gram")[j])
     return (keyed.select("key", words(F.col("text")).alias("words"))
-                 .select("key", "words", F.posexplode(hashes).alias("position", "hash"))
-                 .join(F.broadcast(grams), "hash")  # the templates' own k-grams
+                 .select("key", F.posexplode(own).alias("position", "own"))
+                 .join(F.broadcast(grams), F.col("own.hash") == F.col("hash"))  # the templates' own k-grams
                  .filter(same)
                  .groupBy("key", "template", "label", "exact", "grams",
                           (F.col("position") - F.col("at")).alias("diagonal"))
@@ -189,7 +191,7 @@ def _joined(min_share: float, max_gap: int):
                          for start, length in chains(matches, r["grams"] + max_gap, least)]
             key, label, start, share = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(label, pa.string()),
+                [pa.array(key, pa.string()), pa.array(label, pa.string()),
                  pa.array(start, pa.int32()), pa.array(share, pa.float64())],
                 ["key", "label", "start", "share"])
     return run
@@ -209,7 +211,7 @@ def spans(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + PASSAGES,
                           F.collect_list(F.struct("diagonal", "votes")).alias("diagonals"))
                      .filter(F.bit_count("all") >= F.col("grams") * min_share - 1e-9))
     joined = gathered.select("key", "label", "grams", "diagonals").mapInArrow(
-        _joined(min_share, max_gap), "key long, label string, start int, share double")
+        _joined(min_share, max_gap), "key string, label string, start int, share double")
     return exact.unionByName(joined.withColumn("exact", F.lit(False)))
 
 

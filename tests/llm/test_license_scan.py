@@ -84,3 +84,13 @@ def test_each_copy_is_a_span():
     assert license_scan.chains(copies, 36, 12) == [(30 * c, 20) for c in range(500)]
     assert license_scan.chains(one[:8] + [(p + 9, at) for p, at in one[8:]], 36, 12) == [(0, 20)]
     assert license_scan.chains(one[:8] + [(p + 50, at) for p, at in one[8:]], 36, 12) == [(58, 12)]
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{i % 5000}" for i in range(200_000)]
+    for at in (0, 100_000, 199_990):
+        words[at:at + 4] = "under the mit license".split()
+    words[150_000:150_004] = "apache license version 2".split()
+    row, = license_scan.scan(frame(spark, [(1, " ".join(words), "", "", 0)])).collect()
+    assert (row.n_words, row.n_base, row.first_word, row.last_word) == (200_000, 4, 0, 199_990)
+    assert row.base_labels == "apache-2,mit"
