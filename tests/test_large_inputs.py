@@ -109,3 +109,16 @@ def test_sales_and_visits_are_not_shuffled_before_they_are_written(roles):
         assert "Aggregate" not in last
     revenue = dict(cube.title_totals(roles).dtypes)["revenue"]
     assert revenue == "decimal(38,2)"
+
+
+def test_payments_do_not_ask_for_the_number_of_a_copy(spark, tmp_path):
+    for t in ("lineitem", "orders", "supplier"):
+        df = spark.read.parquet(f"{SMALL}/{t}.parquet")
+        if t == "supplier":
+            df = df.withColumn("s_nationkey", F.lit(None).cast("int"))
+        df.write.parquet(f"{tmp_path}/{t}.parquet")
+    r = CuratedRoles(spark, lambda role: reports.role_from_test_tables(
+        spark, str(tmp_path), role, r.table), "largenation", buckets=4)
+    assert r.payment.count() == r.rental.count() > 0
+    with pytest.raises(Exception, match="nation key"):
+        r.rental.select("copy_id").collect()
