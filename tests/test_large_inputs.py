@@ -70,6 +70,18 @@ def test_long_rentals_are_counted_without_numbering_or_storing(spark):
     assert out.collect() == stored.collect() and r.seconds
 
 
+def test_lateness_rows_are_made_without_storing(spark):
+    r = curated(spark, "largelate")
+    out = reports.ROLE_REPORTS["q_lateness_rows"](r)
+    assert not r._tables and not r.seconds
+    got = sorted(out.collect())
+    assert not r._tables
+    # the same from stored tables
+    assert r.rental.count() == len(got) and r.copy.count() and set(r.seconds) == {
+        "rental_lines", "copy"}
+    assert sorted(reports.ROLE_REPORTS["q_lateness_rows"](r).collect()) == got
+
+
 def test_months_of_payments_need_no_visits(spark):
     r = curated(spark, "largemonths")
     got = {x.month: x.customers for x in visits.month_customers(r).collect()}
