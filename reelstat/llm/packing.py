@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import positions
-from .common import id_text_columns, ship_package, slices, written
+from .common import id_text_columns, release_memory, ship_package, slices, written
 from .subwords import ID_TYPE, word_encoder
 
 #: What names a row of the documents.
@@ -176,6 +176,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     file, row, start, length, doc_tokens, ids (binary, little-endian unsigned
     32-bit)."""
     def run(batches):
+        release_memory()
         encoder = word_encoder(tokenizer_path, drops_space=True, added_tokens=added_tokens)
         end = np.array([end_id], ID_TYPE)
         for batch in batches:
@@ -301,6 +302,7 @@ def with_ids(placed: DataFrame, docs: DataFrame, tokenizer_path: str, end_id: in
                            T.StructField("ids", T.BinaryType())])
 
     def run(batches):
+        release_memory()
         encoder = word_encoder(tokenizer_path, drops_space=True, added_tokens=added_tokens)
         end = np.array([end_id], ID_TYPE)
         for batch in batches:

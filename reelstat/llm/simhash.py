@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import positions
-from .common import id_text, id_text_columns, ship_package, written
+from .common import id_text, id_text_columns, release_memory, ship_package, written
 from .components import smallest_reachable
 
 SHINGLE = 3
@@ -144,6 +144,7 @@ def fingerprints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     others = [c for c in rows.columns if c != "text"]
 
     def run(batches):
+        release_memory()
         for batch in batches:
             values = [fingerprint(t.as_py(), shingle) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays(
