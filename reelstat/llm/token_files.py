@@ -36,6 +36,7 @@ from .subwords import ID_TYPE, word_encoder
 
 END_ID = 2
 SEGMENT_IDS = 262_144
+TABLE_SCALE = 2  # this step has memory to spare for the encoder's table of words
 
 SEGMENTS = ("shard int, offset long, doc_ids array<long>, doc_tokens array<long>, "
             "block_words array<long>, words binary")
@@ -43,7 +44,7 @@ SEGMENTS = ("shard int, offset long, doc_ids array<long>, doc_tokens array<long>
 
 def _segments(tokenizer_path: str, end_id: int, segment_ids: int, added_tokens: bool):
     def encode(batches):
-        encoder = word_encoder(tokenizer_path, added_tokens=added_tokens)
+        encoder = word_encoder(tokenizer_path, added_tokens=added_tokens, scale=TABLE_SCALE)
         shard, offset = TaskContext.get().partitionId(), 0
         doc_ids, parts, held = [], [], 0
         end = np.array([end_id], ID_TYPE)

@@ -6,11 +6,12 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from reelstat.llm import byte_bpe, queries, subwords
+from reelstat.llm import byte_bpe, queries, subwords, token_files
 from reelstat.llm.subwords import text_slices, word_encoder
 from tests.llm.helpers import rows, text_of
 
@@ -114,6 +115,37 @@ def test_table_of_words_is_kept_between_slices_and_bounded(monkeypatch):
         assert len(encoder.known.words) == len(set(encoder.known.words.to_pylist()))
 
 
+def test_arrow_finds_all_texts_with_a_run_before_python_looks(monkeypatch):
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    pick = random.Random(31)
+    made = ["".join(pick.choice([*spaces, *["a", " "] * 9]) for _ in range(pick.randint(0, 8)))
+            for _ in range(20000)]
+    may = pc.match_substring_regex(pa.array(made), subwords._MAY_RUN).to_pylist()
+    assert all(m for t, m in zip(made, may) if subwords._RUN.search(t))
+    looked = []
+
+    class Run:
+        def search(self, text):
+            looked.append(text)
+            return run.search(text)
+    run = subwords._RUN
+    monkeypatch.setattr(subwords, "_RUN", Run())
+    encoder = subwords.WordEncoder(Tokenizer.from_file(queries.BYTE_BPE))
+    encoder.encode_batch(pa.array(["plain words\nin lines", "two  spaces", " first"]))
+    assert looked == ["two  spaces", " first"]
+
+
+def test_a_larger_table_forgets_later(monkeypatch):
+    monkeypatch.setattr(subwords, "MAX_WORDS", 20)
+    some = [" ".join(f"w{i}" for i in range(n, n + 30)) for n in (0, 30)]
+    for scale, known in ((1, 30), (4, 60)):
+        encoder = subwords.WordEncoder(Tokenizer.from_file(queries.BYTE_BPE), scale=scale)
+        for text in some:
+            encoder.encode(text)
+        assert len(encoder.known.words) in (known - 1, known, known + 1)
+    assert token_files.TABLE_SCALE > 1
+
+
 def test_gathered():
     ids = np.array([5, 6, 7, 8, 9], "<u4")
     sizes = np.array([2, 0, 3])
