@@ -33,18 +33,21 @@ count each; without training texts every token has probability 1 / (V + 1) = 1.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import crc_remainder, id_text, ship_package, slices
-from .key_counts import BLOBS, KEY, SortedArrays, blobs, distinct, merged, mix, unmix
+from .key_counts import (BLOBS, KEY, SortedArrays, blobs, distinct, file_values, merged, mix,
+                         unmix)
 from .subwords import text_slices
 
 START, END = b" start", b" end"  # no word contains a space
@@ -57,15 +60,21 @@ LEAST = 0.01
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct words (START and END are the first two); the
     texts as numbers of these, each with its START and END; and where they begin."""
-    number = {START: 0, END: 1}
-    flat, begins = [], []
-    for text in texts:
-        begins.append(len(flat))
-        flat.append(0)
-        flat += [number.setdefault(w, len(number)) for w in text.encode().lower().split()]
-        flat.append(1)
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in number], KEY)
-    return hashes, np.array(flat, np.int64), np.array(begins, np.int64)
+    # both functions change or split at ASCII alone; a text's ends may give empty words
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    words = split.flatten()
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
+    some = pc.not_equal(words, "")
+    text, words = text[some.to_numpy(zero_copy_only=False)], words.filter(some).dictionary_encode()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in itertools.chain(
+        (START, END), words.dictionary.to_pylist())), KEY, 2 + len(words.dictionary))
+    ends = np.cumsum(np.bincount(text, minlength=len(texts)) + 2)
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(texts) else \
+        np.zeros(0, np.int64)
+    flat = np.empty(int(ends[-1]) if len(texts) else 0, np.int64)
+    flat[begins], flat[ends - 1] = 0, 1
+    flat[np.arange(len(text)) + 2 * text + 1] = words.indices.to_numpy().astype(np.int64) + 2
+    return hashes, flat, begins
 
 
 def _count_words(buckets: int):
@@ -133,21 +142,17 @@ def _count_grams(vocabulary: SortedArrays, tables: list[SortedArrays], buckets:
     return run
 
 
-def _tails(tables: list[SortedArrays], numbers: np.ndarray) -> np.ndarray:
-    """Numbers of the k-grams of the last of ``tables`` less their first word."""
-    pairs = unmix(tables[-1].keys_at(numbers))
+def _tails(tables: list[SortedArrays], keys: np.ndarray) -> np.ndarray:
+    """Numbers of the k-grams of the last of ``tables``, named by their keys, less
+    their first word."""
+    pairs = unmix(keys)
     words = (pairs & LOW).astype(np.int64)
     if len(tables) == 1:
         return words
-    heads = _tails(tables[:-1], (pairs >> HALF).astype(np.int64))
+    heads = _tails(tables[:-1], tables[-2].keys_at((pairs >> HALF).astype(np.int64)))
     return tables[-2].lookup(_pairs(heads, words))[0]
 
 
-def _spread(numbers: np.ndarray, vocabulary: int) -> np.ndarray:
-    """Numbers of words as keys that use the whole range, in the same order."""
-    return numbers.astype(KEY) * np.uint64(max(1, ((1 << 64) - 1) // max(1, vocabulary)))
-
-
 def _first_words(tables: list[SortedArrays], numbers: np.ndarray) -> np.ndarray:
     """Numbers of the first words of the k-grams of the last of ``tables``."""
     for table in reversed(tables):
@@ -165,17 +170,24 @@ def _followers(tables: list[SortedArrays], adjusted: SortedArrays | None, below:
             for file in batch.to_pylist():
                 path, n = file["path"], file["n"]
                 keys = np.fromfile(path + ".keys", KEY)
-                counts = np.fromfile(path + ".values", file["kind"]).astype(np.int64)
-                numbers = tables[-1].find(keys)[0]
-                if adjusted is not None:
-                    counts = adjusted.values_at(numbers)[:, 0]
-                rows = np.zeros((2 * n, 5), np.int64)
-                rows[:n, 0] = 1
-                rows[np.arange(n, 2 * n), np.minimum(counts, 3)] = 1
-                rows[n:, 4] = counts
+                if adjusted is None:
+                    counts = file_values(path, n, file["kind"])[:, 0]
+                else:
+                    counts = adjusted.values_at(tables[-1].offset(path) + np.arange(n))[:, 0]
+                tails, before = np.unique(_tails(tables, keys), return_counts=True)
                 heads = (unmix(keys) >> HALF).astype(np.int64)
-                some, rows = distinct(np.concatenate([_tails(tables, numbers), heads]), rows)
-                yield blobs(_spread(some, below), rows, buckets)
+                order = np.argsort(heads)
+                heads, counts = heads[order], counts[order]
+                first = np.flatnonzero(np.diff(heads, prepend=-1))
+                heads = heads[first]
+                some = np.union1d(tails, heads)
+                rows = np.zeros((len(some), 5), np.int64)
+                rows[np.searchsorted(some, tails), 0] = before
+                at = np.searchsorted(some, heads)
+                for column, values in enumerate(
+                        (counts == 1, counts == 2, counts >= 3, counts), 1):
+                    rows[at, column] = np.add.reduceat(values.astype(np.int64), first)
+                yield blobs(some.astype(KEY), rows, buckets, below)
     return run
 
 
@@ -185,12 +197,12 @@ def _starts(tables: list[SortedArrays], start: int, buckets: int):
     def run(batches):
         for batch in batches:
             for file in batch.to_pylist():
-                numbers = tables[-1].find(np.fromfile(file["path"] + ".keys", KEY))[0]
-                counts = np.fromfile(file["path"] + ".values", file["kind"]).astype(np.int64)
+                numbers = tables[-1].offset(file["path"]) + np.arange(file["n"])
+                counts = file_values(file["path"], file["n"], file["kind"])[:, 0]
                 here = _first_words(tables, numbers) == start
                 rows = np.zeros((int(here.sum()), 5), np.int64)
                 rows[:, 0] = counts[here]
-                yield blobs(_spread(numbers[here], len(tables[-1])), rows, buckets)
+                yield blobs(numbers[here].astype(KEY), rows, buckets, len(tables[-1]))
     return run
 
 
@@ -295,7 +307,8 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
                 files[i - 1], _starts(grams[:i], int(place[0]), buckets)))
         followers = merged(parts, f"{folder}/followers{i + 2}", 5,
                            lambda keys, counts: np.concatenate(
-                               [[counts[:, 0].sum()], counts_of_counts(counts[:, 0])]).tobytes())
+                               [[counts[:, 0].sum()], counts_of_counts(counts[:, 0])]).tobytes(),
+                           dense=True)
         adjusted = SortedArrays.of(followers, 5)
         if len(adjusted) != below:
             raise RuntimeError(f"{len(adjusted)} rows for {below} n-grams")

@@ -1,9 +1,12 @@
 import collections
 import math
+import random
 import re
 import zlib
 
+import numpy as np
 import pytest
+import xxhash
 
 from reelstat.llm import key_counts, ngram_lm, queries
 from tests.llm.helpers import empty, frame, rows, text_of
@@ -144,3 +147,40 @@ def test_only_mounted_folders():
     assert key_counts.mounted("file:///a/b") == "/a/b" and key_counts.mounted("/a/b") == "/a/b"
     with pytest.raises(ValueError):
         key_counts.mounted("hdfs://host/a")
+
+
+def test_tokens_split_and_fold_at_ascii_alone():
+    pick = random.Random(41)
+    odd = ["A", "Zb", "É", "ß", "İ", "\x1c", "\x1f", "\x85", " ", " ", "\x00", "🙂",
+           " ", " ", "\t", "\n", "\x0b", "\x0c", "\r"]
+    made = ["".join(pick.choice(odd) for _ in range(pick.randint(0, 9))) for _ in range(3000)]
+    hashes, flat, begins = ngram_lm.tokens(made + [""])
+    ends = [xxhash.xxh64_intdigest(w) for w in (ngram_lm.START, ngram_lm.END)]
+    want = [[ends[0], *map(xxhash.xxh64_intdigest, t.encode().lower().split()), ends[1]]
+            for t in made + [""]]
+    assert [x.tolist() for x in np.split(hashes[flat], begins[1:])] == want
+    assert len(set(hashes.tolist())) == len(hashes)
+    assert [len(x) for x in ngram_lm.tokens([])] == [2, 0, 0]
+
+
+def test_counts_are_stored_in_bytes_and_large_ones_in_full(spark, tmp_path):
+    counts = {i: n for i, n in enumerate([0, 1, 254, 255, 256, 70_000, 2 ** 31, 3, 4, 5])}
+    keys = np.array(list(counts), key_counts.KEY)
+    rows = np.stack([list(counts.values()), list(reversed(counts.values()))], axis=1)
+    parts = spark.createDataFrame([], key_counts.BLOBS)
+    for chosen in (keys < 6, keys > 3):  # two blobs that share keys
+        batch = key_counts.blobs(keys[chosen], rows[chosen], 3, len(keys))
+        parts = parts.unionByName(spark.createDataFrame(
+            [(b, bytes(k), bytes(c)) for b, k, c in zip(*(x.to_pylist() for x in batch))],
+            key_counts.BLOBS))
+    for dense in (False, True):
+        table = key_counts.SortedArrays.of(key_counts.merged(
+            parts, str(tmp_path / str(dense)), 2, dense=dense), 2)
+        shared = np.where((keys > 3) & (keys < 6), 2, 1)[:, None]
+        assert (table.values_at(np.arange(len(keys))) == rows * shared).all()
+        at = np.array([5, 3, 3, 9, 0])
+        assert (table.values_at(at) == (rows * shared)[at]).all()
+    held = sum(f.stat().st_size for f in (tmp_path / "True").iterdir() if f.suffix == ".values")
+    assert held == 2 * len(keys)  # a byte for each count
+    assert sum(f.stat().st_size for f in (tmp_path / "True").iterdir()
+               if f.suffix == ".keys") == 3 * 8  # a key for each of three buckets
