@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import id_text, slices
+from .common import id_text, release_memory, slices
 from .subwords import ID_TYPE, word_encoder
 
 END_ID = 2
@@ -43,6 +43,7 @@ SEGMENTS = ("shard int, offset long, doc_ids array<long>, doc_tokens array<long>
 
 def _segments(tokenizer_path: str, end_id: int, segment_ids: int, added_tokens: bool):
     def encode(batches):
+        release_memory()
         encoder = word_encoder(tokenizer_path, added_tokens=added_tokens)
         shard, offset = TaskContext.get().partitionId(), 0
         doc_ids, parts, held = [], [], 0
@@ -90,6 +91,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
 def _documents(batches):
     """Decode whole segments, vectorised, and cut them into documents."""
+    release_memory()  # of the tables that encoding used
     for batch in batches:
         for row in batch.to_pylist():
             ids = simple8b.decode(np.frombuffer(row["words"], simple8b.WORD)).astype(ID_TYPE)
