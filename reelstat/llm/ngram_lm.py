@@ -45,18 +45,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import crc_remainder, id_text, ship_package, slices
-from .key_counts import (BLOBS, KEY, SortedArrays, blobs, distinct, file_values, merged, mix,
-                         unmix)
+from .common import crc_remainder, id_text, release_memory, ship_package, slices
+from .key_counts import (BLOBS, KEY, SortedArrays, ascending, blobs, distinct, file_values,
+                         merged, mix, unmix)
 from .subwords import text_slices
 
 START, END = b" start", b" end"  # no word contains a space
 HALF = np.uint64(32)
 LOW = np.uint64((1 << 32) - 1)
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 5_000_000  # a slice's arrays take some thirty times as much memory
 LEAST = 0.01
 
 
+def _parts(batches):
+    """The slices of a task's batches."""
+    release_memory()
+    for batch in batches:
+        yield from text_slices(batch, "text", SLICE_BYTES)
+
+
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct words (START and END are the first two); the
     texts as numbers of these, each with its START and END; and where they begin."""
@@ -66,8 +73,10 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     text = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
     some = pc.not_equal(words, "")
     text, words = text[some.to_numpy(zero_copy_only=False)], words.filter(some).dictionary_encode()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in itertools.chain(
-        (START, END), words.dictionary.to_pylist())), KEY, 2 + len(words.dictionary))
+    # the array's own list of them takes several times longer
+    known = words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, itertools.chain((START, END), known)),
+                         KEY, 2 + len(known))
     ends = np.cumsum(np.bincount(text, minlength=len(texts)) + 2)
     begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(texts) else \
         np.zeros(0, np.int64)
@@ -79,10 +88,9 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _count_words(buckets: int):
     def run(batches):
-        for batch in batches:
-            for part in text_slices(batch, "text", SLICE_BYTES):
-                hashes, flat, _ = tokens(part["text"].to_pylist())
-                yield blobs(*distinct(hashes, np.bincount(flat, minlength=len(hashes))), buckets)
+        for part in _parts(batches):
+            hashes, flat, _ = tokens(part["text"].to_pylist())
+            yield blobs(*distinct(hashes, np.bincount(flat, minlength=len(hashes))), buckets)
     return run
 
 
@@ -129,16 +137,15 @@ def _numbered(tables: list[SortedArrays], words: np.ndarray, since: np.ndarray):
 def _count_grams(vocabulary: SortedArrays, tables: list[SortedArrays], buckets: int):
     """Counts of the k-grams next above those of ``tables``."""
     def run(batches):
-        for batch in batches:
-            for part in text_slices(batch, "text", SLICE_BYTES):
-                hashes, flat, begins = tokens(part["text"].to_pylist())
-                words, since = _numbers(vocabulary, hashes)[0][flat], _since(len(flat), begins)
-                lower = words
-                for lower, _ in _numbered(tables, words, since):
-                    pass
-                _, keys = _grams(words, since, lower, len(tables) + 2)
-                keys, counts = np.unique(keys, return_counts=True)
-                yield blobs(keys, counts, buckets)
+        for part in _parts(batches):
+            hashes, flat, begins = tokens(part["text"].to_pylist())
+            words, since = _numbers(vocabulary, hashes)[0][flat], _since(len(flat), begins)
+            lower = words
+            for lower, _ in _numbered(tables, words, since):
+                pass
+            _, keys = _grams(words, since, lower, len(tables) + 2)
+            keys, counts = np.unique(keys, return_counts=True)
+            yield blobs(keys, counts, buckets)
     return run
 
 
@@ -168,6 +175,7 @@ def _followers(tables: list[SortedArrays], adjusted: SortedArrays | None, below:
     def run(batches):
         for batch in batches:
             for file in batch.to_pylist():
+                release_memory()
                 path, n = file["path"], file["n"]
                 keys = np.fromfile(path + ".keys", KEY)
                 if adjusted is None:
@@ -180,7 +188,7 @@ def _followers(tables: list[SortedArrays], adjusted: SortedArrays | None, below:
                 heads, counts = heads[order], counts[order]
                 first = np.flatnonzero(np.diff(heads, prepend=-1))
                 heads = heads[first]
-                some = np.union1d(tails, heads)
+                some = ascending(np.concatenate([tails, heads]))
                 rows = np.zeros((len(some), 5), np.int64)
                 rows[np.searchsorted(some, tails), 0] = before
                 at = np.searchsorted(some, heads)
@@ -327,12 +335,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score, perplexity."""
     def run(batches):
-        for batch in batches:
-            for part in text_slices(batch, "text", SLICE_BYTES):
-                n, known, base, total = model.score(part["text"].to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array(n), pa.array(known), pa.array(base),
-                     pa.array(total)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        for part in _parts(batches):
+            n, known, base, total = model.score(part["text"].to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [part["doc_id"], pa.array(n), pa.array(known), pa.array(base),
+                 pa.array(total)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return id_text(docs, id_col, text_col).mapInArrow(
         run, "doc_id long, n_tokens long, n_known long, base_score double, score double") \

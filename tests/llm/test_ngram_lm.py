@@ -2,6 +2,7 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -184,3 +185,39 @@ def test_counts_are_stored_in_bytes_and_large_ones_in_full(spark, tmp_path):
     assert held == 2 * len(keys)  # a byte for each count
     assert sum(f.stat().st_size for f in (tmp_path / "True").iterdir()
                if f.suffix == ".keys") == 3 * 8  # a key for each of three buckets
+
+
+def test_memory_of_merging_does_not_follow_the_rows():
+    keys = np.arange(400_000, dtype=key_counts.KEY)
+    runs = [(keys, np.ones((len(keys), 5), key_counts.COUNT)) for _ in range(4)]
+    tracemalloc.start()
+    try:
+        _, counts = key_counts._summed(runs)
+        # the rows in full would be 64 MB, and once more in the order of their keys
+        assert counts.sum() == 8_000_000 and tracemalloc.get_traced_memory()[1] < 80_000_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_ascending():
+    assert key_counts.ascending(np.array([3, 1, 3, 2, 1])).tolist() == [1, 2, 3]
+    assert key_counts.ascending(np.zeros(0, np.int64)).tolist() == []
+
+
+def test_blobs_leave_out_bytes_that_no_value_has():
+    for values in ([0], [1, 255], [256, 7], [1 << 31], list(range(300))):
+        values = np.array(values, key_counts.COUNT)
+        raw = key_counts._planes(values)
+        assert key_counts._unplanes(raw, key_counts.COUNT).tolist() == values.tolist()
+    assert len(key_counts._planes(np.arange(200, dtype=key_counts.KEY))) == 201
+
+
+def test_runs_are_summed_range_by_range(monkeypatch):
+    pick = np.random.default_rng(3)
+    runs = [(np.unique(pick.integers(0, 500, 300)).astype(key_counts.KEY),) for _ in range(7)]
+    runs = [(k, pick.integers(0, 9, (len(k), 2)).astype(key_counts.COUNT)) for k, in runs]
+    want = key_counts.distinct(*(np.concatenate([r[i] for r in runs]) for i in (0, 1)))
+    for most in (1, 100, 10_000):
+        monkeypatch.setattr(key_counts, "RANGE", most)
+        keys, counts = key_counts._summed(runs)
+        assert keys.tolist() == want[0].tolist() and counts.tolist() == want[1].tolist()
